@@ -126,7 +126,7 @@ def mix(
     share = F.col("_start") / F.col("target")
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, _position(share, F.col("rank"), curricula)))
     placed = placed.withColumn("epochs", F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "epochs", *extra).orderBy(F.col("position").asc_nulls_last())
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "epochs", *extra).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
