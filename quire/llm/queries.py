@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, mixing
+from quire.llm import decontaminate, mixing, pii
 
-QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate, "op2_mixing": mixing.op2_mixing}
-ORACLE_SQL = {"op1_decontaminate": decontaminate.SQL, "op2_mixing": mixing.SQL}
+QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate, "op2_mixing": mixing.op2_mixing, "op8_pii": pii.op8_pii}
+ORACLE_SQL = {"op1_decontaminate": decontaminate.SQL, "op2_mixing": mixing.SQL, "op8_pii": pii.SQL}
