@@ -78,3 +78,47 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each start, end to end."""
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+_RNG = np.random.Generator(np.random.PCG64(20240607))
+#: A random number for each byte value, and an odd multiplier, for hashes of byte strings.
+_OF_BYTE = _RNG.integers(0, 1 << 64, 256, U64)
+_BASE = U64(int(_RNG.integers(0, 1 << 64, dtype=U64)) | 1)
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse."""
+    if len(_POWERS.get("up", ())) < n:
+        n = max(n, SLICE_BYTES + 1024)
+        for name, base in (("up", _BASE), ("down", U64(pow(int(_BASE), -1, 1 << 64)))):
+            x = np.full(n, base, U64)
+            x[0] = 1
+            _POWERS[name] = np.multiply.accumulate(x)
+    return _POWERS["up"], _POWERS["down"]
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
+_OF_LOWER = _OF_BYTE[_LOWER]
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs of bytes that aren't gaps, A-Z lower-cased) of texts end to end, and the text each is in."""
+    word = np.empty(len(data) + 1, bool)
+    word[:-1] = ~gap[data]
+    word[-1] = False
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    begin = word.copy()
+    begin[1:] &= ~word[:-1] | edge[1:]
+    end = word.copy()
+    end[:-1] &= ~word[1:] | edge[1:]
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(_OF_LOWER[data] * up[: len(data)], out=sums[1:])
+    h = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U64) * U64(0x9E3779B97F4A7C15)
+    return mixed(h), np.searchsorted(at, begin, "right") - 1

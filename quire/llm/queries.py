@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, mixing, pii, suffixdedup
+from quire.llm import decontaminate, lmscore, mixing, pii, suffixdedup
 
-QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate, "op2_mixing": mixing.op2_mixing, "op8_pii": pii.op8_pii, "op10_suffix_dedup": suffixdedup.op10_suffix_dedup}
+QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate, "op2_mixing": mixing.op2_mixing, "op4_lm_score": lmscore.op4_lm_score, "op8_pii": pii.op8_pii, "op10_suffix_dedup": suffixdedup.op10_suffix_dedup}
 ORACLE_SQL = {"op1_decontaminate": decontaminate.SQL, "op2_mixing": mixing.SQL, "op8_pii": pii.SQL}
