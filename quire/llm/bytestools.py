@@ -122,3 +122,24 @@ def word_hashes(data: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE) -> tu
     np.cumsum(_OF_LOWER[data] * up[: len(data)], out=sums[1:])
     h = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U64) * U64(0x9E3779B97F4A7C15)
     return mixed(h), np.searchsorted(at, begin, "right") - 1
+
+
+def prefix_hashes(data: np.ndarray, at: np.ndarray, gap: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and of their first bytes, for each length of which a word has more, and where each one's word begins."""
+    word = np.append(~gap[data], False)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    begin, end = word.copy(), word.copy()
+    begin[1:] &= ~word[:-1] | edge[1:]
+    end[:-1] &= ~word[1:] | edge[1:]
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(_OF_LOWER[data] * up[: len(data)], out=sums[1:])
+    out, of = [mixed((sums[end] - sums[begin]) * down[begin])], [begin]
+    for k in lengths:
+        long = begin[end - begin > k]
+        # Another constant per length, so a prefix isn't the word of the same letters.
+        out.append(mixed((sums[long + k] - sums[long]) * down[long] + U64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)))
+        of.append(long)
+    return np.concatenate(out), np.concatenate(of)
