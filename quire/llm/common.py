@@ -29,3 +29,8 @@ def cut(df: DataFrame) -> DataFrame:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, which the optimizer can't inline into inner lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that no name of theirs can clash; ``row.*`` brings them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))

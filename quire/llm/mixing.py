@@ -27,6 +27,8 @@ from quire.llm.common import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: Knots (time, rate) of the default curricula, dealt to the sources in the order of the weights.
 CURRICULA = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
+#: Columns of the result.
+RESULT = ("doc_id", "source", "size", "source_size", "target", "taken", "position", "epochs")
 #: Documents that a range of the order hash holds on average.
 RANGE_ROWS = 8192
 
@@ -87,8 +89,8 @@ def mix(
 ) -> DataFrame:
     """One row per document, in the order of training: how many words the mix takes and where.
 
-    docs has doc_id, text and source; columns named in keep are carried along,
-    others are ignored, so names can't clash.  Returns doc_id, source, size,
+    docs has doc_id, text and source; columns named in keep are carried along
+    (but for those named like a result, which it replaces), others are ignored.  Returns doc_id, source, size,
     source_size, target, taken, position (time of the first copy) and epochs
     (copies taken, the last perhaps in part).  Sources rank by code point, null
     is a source of its own and comes last.  Null and empty texts have size 0 and
@@ -97,8 +99,9 @@ def mix(
     no rows.  The order hash depends on doc_id alone, so reruns agree.
     """
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    extra = [c for c in keep if c not in ("doc_id", "source")]
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), *extra))
+    extra = [c for c in keep if c not in RESULT]
+    carried = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in extra))
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), carried.alias("_row")))
     totals = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n")))
     rows = totals.agg(F.sum("_n")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, rows) / RANGE_ROWS)))
@@ -126,7 +129,7 @@ def mix(
     share = F.col("_start") / F.col("target")
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, _position(share, F.col("rank"), curricula)))
     placed = placed.withColumn("epochs", F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "epochs", *extra).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "epochs", *(F.col(f"_row.`{c}`") for c in extra)).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

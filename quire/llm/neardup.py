@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytestools import U64, mixed, slices, word_hashes
-from quire.llm.common import cut, table
+from quire.llm.common import cut, table, whole_row
 from quire.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -224,10 +224,10 @@ def remove_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     """docs with one document of each component, that with the least doc_id; of rows that repeat it, one. All columns stay."""
     found = join(docs.select("doc_id", "text"), threshold).filter("kept").groupBy("doc_id", "text_key").agg(F.max("n_links").alias("n_links"))
     key = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._key") == F.col("k.text_key"))
-    kept = docs.withColumn("_key", key).alias("d").join(found.alias("k"), same).select("d.*", "k.n_links")
+    packed = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").alias("_id"), key.alias("_key"))
+    kept = packed.join(found, packed["_id"].eqNullSafe(found["doc_id"]) & (packed["_key"] == found["text_key"])).select("_row", "_id", "_key", "n_links")
     # Only linked documents can repeat; texts without words stay as they are.
-    return kept.filter("n_links = 0").select(*docs.columns).unionByName(kept.filter("n_links > 0").dropDuplicates(["doc_id", "_key"]).select(*docs.columns))
+    return kept.filter("n_links = 0").select("_row.*").unionByName(kept.filter("n_links > 0").dropDuplicates(["_id", "_key"]).select("_row.*"))
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytestools import U64, prefix_hashes, slices
-from quire.llm.common import table
+from quire.llm.common import table, whole_row
 
 #: The labelled sample: so many documents of each label at most, of so many bytes at most; all are bounds on the driver's memory.
 SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_BYTES = 2000, 4000, 50_000
@@ -191,9 +191,9 @@ def _learned_from(df: DataFrame) -> DataFrame:
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score 0.5 or more; the model learns from labelled docs. All columns stay."""
-    columns = docs.columns
-    scored = score(docs, train(_learned_from(docs), labels), [c for c in columns if c != "text"] + ["text"], located=False)
-    return scored.filter("score < 0.5").select(*columns)
+    model = train(_learned_from(docs.select("doc_id", "text")), labels.select("doc_id", "toxic"))
+    scored = score(docs.select(whole_row(docs).alias("row"), "text"), model, ["row"], located=False)
+    return scored.filter("score < 0.5").select("row.*")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
