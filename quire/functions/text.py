@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Marks that monotonize removes (grave, acute, circumflex, smooth and rough breathing, iota below).
 REMOVED_MARKS = "̀́͂̓̔ͅ"
@@ -24,7 +25,7 @@ GREEK = "Ͱ-Ͽἀ-῿"
 
 
 def _normal(form: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def normal(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else unicodedata.normalize(form, t))
 
@@ -102,7 +103,7 @@ def dangling_marks(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?<![\p{L}\p{M}])\p{M}"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def diacritic_violations(texts: pd.Series) -> pd.Series:
     """For each base letter, a flag if it has several breathings, and one if several accents."""
     def flags(text):
@@ -144,7 +145,7 @@ def is_footnote(text: Column) -> Column:
     return text.rlike(r"^\s*\d{1,3}\s+\S") & text.rlike(r"\p{Ll}")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """0 where lengths differ by more than 4, else the sequence matcher's ratio."""
     return pd.Series([0.0 if abs(len(x) - len(y)) > 4 else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
