@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import reference
+from quire.plans import more, reference  # more registers its queries in reference's tables
+
+_ = more
 
 QUERIES = {**reference.QUERIES}
 ORACLE_SQL = {**reference.ORACLE_SQL}

@@ -1 +1 @@
-
+"""Readers of recorded engine output, word lists and page files."""
