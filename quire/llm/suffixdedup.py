@@ -54,8 +54,13 @@ def window_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _gather(bits: int):
-    """Keys of documents as rows (bucket, keys, ids): negative buckets hold keys that are known to be shared."""
-    schema = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary())])
+    """Keys of documents as rows (bucket, keys, places, ids), where a place points into ids.
+
+    The first bits of a key are its bucket's number, and the 32 bits that follow
+    are sent; what they wrongly take for shared, the index finds to be different.
+    Negative buckets hold keys that are known to be shared, with their bucket's bits.
+    """
+    schema = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())])
 
     def flush(found: list[tuple[np.ndarray, np.ndarray]], number: int) -> pa.RecordBatch:
         key, doc = np.concatenate([k for k, _ in found]), np.concatenate([d for _, d in found])
@@ -74,11 +79,15 @@ def _gather(bits: int):
             rows.append((-1 - number % 64, key[several], doc[several]))
         # One document stands for a shared key; it is told once more if other tasks have the key too.
         key, doc = key[starts], doc[starts]
-        bucket = (key >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+        bucket = (key >> U64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
-        for b, k, d in zip(bucket[np.concatenate(([0], cuts))] if len(key) else [], np.split(key, cuts), np.split(doc, cuts)):
+        for b, k, d in zip(bucket[np.concatenate(([0], cuts))] if len(key) else [], np.split(key.astype(np.uint32), cuts), np.split(doc, cuts)):
             rows.append((int(b), k, d))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], schema=schema)
+        blobs = []
+        for _, k, d in rows:
+            ids, place = np.unique(d, return_inverse=True)
+            blobs.append((k.tobytes(), place.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32).tobytes(), ids.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([b[i] for b in blobs], pa.binary()) for i in range(3))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held, number = [], 0, 0
@@ -87,7 +96,7 @@ def _gather(bits: int):
             turn = good.copy()
             turn[1:] &= (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | ~good[:-1]
             ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
-            found.append((key[turn], ids[text[turn]]))
+            found.append((key[turn] >> U64(32 - bits), ids[text[turn]]))
             held += len(found[-1][0])
             if held >= FLUSH_KEYS:
                 yield flush(found, number)
@@ -100,9 +109,12 @@ def _gather(bits: int):
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket, the keys that several rows hold, as a row of keys for each document."""
-    key = np.frombuffer(b"".join(pdf["keys"]), U64)
-    doc = np.frombuffer(b"".join(pdf["ids"]), np.int64)
-    if pdf["bucket"].iloc[0] >= 0:
+    bucket = int(pdf["bucket"].iloc[0])
+    kind = np.dtype(np.uint32 if bucket >= 0 else U64)
+    key = np.frombuffer(b"".join(pdf["keys"]), kind).astype(U64)
+    doc = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(p, np.uint16 if len(p) * kind.itemsize == len(k) * 2 else np.uint32)] for k, p, i in zip(pdf["keys"], pdf["places"], pdf["ids"])])
+    if bucket >= 0:
+        key += U64(bucket << 32)
         order = np.argsort(key)
         key, doc = key[order], doc[order]
         same = np.zeros(len(key), bool)
@@ -115,30 +127,34 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc[starts], "keys": [k.tobytes() for k in np.split(key, starts[1:])] if len(doc) else []})
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretches(bits: int):
     """The bytes around each shared key of a document: (key, doc_id, text_key, start, bytes)."""
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary())])
-    for rows, data, at in slices(batches, "bytes", 1 << 19):
-        key, good, text = window_keys(data, at)
-        known = np.unique(np.frombuffer(b"".join(k for part in rows.column("keys").to_pylist() for k in part), U64))
-        if not len(key) or not len(known):
-            continue
-        spot = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        wanted = good & (known[spot] == key)
-        begin = wanted.copy()
-        begin[1:] &= ~wanted[:-1] | (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-        end = wanted.copy()
-        end[:-1] &= ~wanted[1:] | (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-        begin, end = np.flatnonzero(begin), np.flatnonzero(end) + WIDTH
-        lengths = end - begin
-        own = text[begin]
-        for lo in range(0, len(begin), 20_000):
-            part = slice(lo, lo + 20_000)
-            offsets = np.concatenate(([0], np.cumsum(lengths[part]))).astype(np.int32)
-            blob = data[ranges(begin[part], lengths[part])]
-            values = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(blob.tobytes())])
-            ids = [rows.column(c).to_numpy(zero_copy_only=False)[own[part]] for c in ("doc_id", "text_key")]
-            yield pa.RecordBatch.from_arrays([pa.array(key[begin[part]].view(np.int64)), *map(pa.array, ids), pa.array((begin[part] - at[own[part]]).astype(np.int32)), values], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in slices(batches, "bytes", 1 << 19):
+            key, good, text = window_keys(data, at)
+            known = np.unique(np.frombuffer(b"".join(k for part in rows.column("keys").to_pylist() for k in part), U64))
+            if not len(key) or not len(known):
+                continue
+            spot = np.minimum(np.searchsorted(known, key >> U64(32 - bits)), len(known) - 1)
+            wanted = good & (known[spot] == key >> U64(32 - bits))
+            begin = wanted.copy()
+            begin[1:] &= ~wanted[:-1] | (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+            end = wanted.copy()
+            end[:-1] &= ~wanted[1:] | (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+            begin, end = np.flatnonzero(begin), np.flatnonzero(end) + WIDTH
+            lengths = end - begin
+            own = text[begin]
+            for lo in range(0, len(begin), 20_000):
+                part = slice(lo, lo + 20_000)
+                offsets = np.concatenate(([0], np.cumsum(lengths[part]))).astype(np.int32)
+                blob = data[ranges(begin[part], lengths[part])]
+                values = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(blob.tobytes())])
+                ids = [rows.column(c).to_numpy(zero_copy_only=False)[own[part]] for c in ("doc_id", "text_key")]
+                yield pa.RecordBatch.from_arrays([pa.array(key[begin[part]].view(np.int64)), *map(pa.array, ids), pa.array((begin[part] - at[own[part]]).astype(np.int32)), values], schema=schema)
+
+    return run
 
 
 def _search(strings: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,10 +276,10 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_ranges(texts: DataFrame, n_bytes: int) -> DataFrame:
     """Byte ranges (may overlap) of WIDTH or more that a text with a smaller doc_id holds too. texts: doc_id, text_key, bytes."""
-    bits = max(0, math.ceil(math.log2(max(1, n_bytes) / BUCKET_BYTES)))
-    keys = texts.select("doc_id", "bytes").mapInArrow(_gather(bits), "bucket long, keys binary, ids binary")
+    bits = min(32, max(0, math.ceil(math.log2(max(1, n_bytes) / BUCKET_BYTES))))
+    keys = texts.select("doc_id", "bytes").mapInArrow(_gather(bits), "bucket long, keys binary, places binary, ids binary")
     shared = keys.groupBy("bucket").applyInPandas(_meet, "doc_id long, keys binary").groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
-    around = texts.join(shared, "doc_id").select("doc_id", "text_key", "bytes", "keys").mapInArrow(_stretches, "key long, doc_id long, text_key long, start int, bytes binary")
+    around = texts.join(shared, "doc_id").select("doc_id", "text_key", "bytes", "keys").mapInArrow(_stretches(bits), "key long, doc_id long, text_key long, start int, bytes binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = around.repartition(max(parts, math.ceil(n_bytes / (32 << 20))), "key").sortWithinPartitions("key", "doc_id")
     return dealt.mapInArrow(_index, "doc_id long, text_key long, start int, stop int")
