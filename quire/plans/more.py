@@ -8,7 +8,7 @@ from quire.functions import boxes, text
 from quire.operators import evaluate, lines, review, structure, suggest
 from quire.plans import testbed as t
 from quire.plans.reference import _FINAL, _KEY, _KNOWN, _PAIRS, _TOKENS, _pairs, _words, query
-from quire.sources import parsers, sinks
+from quire.sources import parsers, replies, sinks
 from quire.streaming import events
 
 PAGE = ["doc_id", "page_no"]
@@ -424,3 +424,49 @@ def _(spark, d):
 def _(spark, d):
     log = t.overrides(spark, d)
     return log.groupBy("line_id").agg(F.max(F.struct("store", "text"))["text"].alias("undone"))
+
+
+# Replies, lists and settings
+
+
+@query(
+    "src_19_block_reply",
+    r"""SELECT doc_id, line_idx AS block, line, text, x // 10 * 700 // 1000 AS x FROM (SELECT doc_id, line_idx, least(x, 1000) * 10 AS x, unnest(f) AS text, unnest(range(len(f))) AS line FROM (
+    SELECT doc_id, line_idx, x, list_filter(list_transform(string_split(text, '. '), lambda p: trim(p)), lambda p: p <> '') AS f FROM ln WHERE line_idx % 3 <> 2 AND line_idx < 30))""",
+    t.LINES,
+)
+def _(spark, d):
+    b = t.lines(spark, d).filter("line_idx < 30")
+    label = F.when(F.col("line_idx") % 3 == 2, "image").otherwise("text")
+    one = F.concat(F.lit("<BLOCK>"), label, F.lit("["), F.col("x"), F.lit(","), F.lit(0), F.lit(","), F.lit(900), F.lit(","), F.lit(500), F.lit("]<FORK>"), F.replace(F.col("text"), F.lit(". "), F.lit("\n")))
+    g = b.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", one.alias("v")))), lambda s: s["v"]), "").alias("payload"))
+    out = replies.block_reply(g.select("*", F.lit(700).alias("page_w"), F.lit(900).alias("page_h"), F.lit("stop").alias("finish_reason")))
+    return out.select("doc_id", F.col("block").cast("long").alias("block"), F.col("line").cast("long").alias("line"), "text", F.col("x").cast("long").alias("x"))
+
+
+@query("src_11_model_list", "SELECT source AS name, max(doc_id) AS pos FROM documents WHERE doc_id % 7 <> 0 GROUP BY source")
+def _(spark, d):
+    e = t.documents(spark, d).select(F.col("source").alias("name"), F.col("doc_id").alias("pos"), F.lit("kraken").alias("engine"), F.when(F.col("doc_id") % 7 != 0, F.sha2("text", 256)).alias("sha256"))
+    return replies.latest_by_name(e).select("name", "pos")
+
+
+@query("snk_13_upsert_models", "SELECT source AS name, max(CASE WHEN doc_id % 2 = 0 THEN doc_id END) AS pos FROM documents GROUP BY source HAVING max(CASE WHEN doc_id % 2 = 0 THEN doc_id END) IS NOT NULL UNION ALL SELECT source, max(doc_id) FROM documents GROUP BY source HAVING max(CASE WHEN doc_id % 2 = 0 THEN doc_id END) IS NULL")
+def _(spark, d):
+    each = t.documents(spark, d).select(F.col("source").alias("name"), F.col("doc_id").alias("pos"))
+    last = lambda df: df.groupBy("name").agg(F.max("pos").alias("pos"))
+    return replies.upsert(last(each), last(each.filter("pos % 2 = 0")))
+
+
+@query("src_21_settings", "SELECT doc_id, source AS tenant, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN NULL ELSE true END AS flag FROM documents")
+def _(spark, d):
+    i = F.col("doc_id")
+    keys = replies.api_keys(F.concat(F.lit("k:other, key"), i, F.lit(": "), F.col("source"), F.lit(" ,")))
+    raw = F.when(i % 4 == 0, "Yes").when(i % 4 == 1, " off ").when(i % 4 == 2, "maybe")
+    return t.documents(spark, d).select("doc_id", F.element_at(keys, F.concat(F.lit("key"), i)).alias("tenant"), replies.boolean_setting(raw, True).alias("flag"))
+
+
+@query("fn_32_output_format", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'markdown' WHEN 2 THEN NULL ELSE 'alto' END AS format FROM documents")
+def _(spark, d):
+    i = F.col("doc_id")
+    path = F.when(i % 4 == 0, "a.TXT").when(i % 4 == 1, "b.md").when(i % 4 == 2, "c.exe").otherwise("d.exe")
+    return t.documents(spark, d).select("doc_id", replies.output_format(path, F.when(i % 4 == 3, "alto")).alias("format"))
