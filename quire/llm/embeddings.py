@@ -1,8 +1,8 @@
 """Operator 7: near-duplicate embeddings by product quantisation with inverted lists.
 
 Unit vectors go to the list of their nearest coarse centroid; what is left
-after the centroid is cut into subspaces and coded.  A vector probes all lists
-whose centroid is at most MARGIN farther than its nearest one.  There, one
+after the centroid is cut into subspaces and coded.  A vector probes the lists of its
+PROBES nearest centroids that are at most MARGIN farther than the nearest.  There, one
 table of its distances to the codebooks gives its approximate distance to every
 coded vector.  Each code's own error is kept, so by the triangle inequality the
 approximation rules out no pair within the wanted distance; what it leaves is
@@ -29,7 +29,8 @@ THRESHOLD = 0.95
 #: Vectors that train centroids and codebooks, at most; vectors to a list on average; lists, at most.
 SAMPLE, LIST_SIZE, MOST_LISTS = 20_000, 256, 4096
 SUBSPACES, CODES, STEPS = 8, 256, 8
-MARGIN = 0.25
+#: A vector probes its nearest lists, so many at most, of those not farther than its own by the margin.
+MARGIN, PROBES = 0.1, 8
 #: Members or queries of a list that one task compares.
 CHUNK = 2000
 LAST_ID = (1 << 63) - 1
@@ -62,8 +63,9 @@ class Index:
     def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, list[np.ndarray]]:
         """Each vector's own list and all lists it probes, the own one among them."""
         far = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * x @ self.centroids.T, 0))
-        own = far.argmin(1)
-        return own, [np.flatnonzero(row <= row[o] + margin) for row, o in zip(far, own)]
+        few = np.argsort(far, axis=1, kind="stable")[:, :PROBES]
+        own = few[:, 0]
+        return own, [order[row[order] <= row[order[0]] + margin] for row, order in zip(far, few)]
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and how far each vector is from what its code stands for."""
