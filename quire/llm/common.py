@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 from collections.abc import Callable
 
@@ -34,3 +35,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def whole_row(df: DataFrame) -> Column:
     """All columns of df as one struct, so that no name of theirs can clash; ``row.*`` brings them back."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def literal_rows(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
+    """A small fixed table as one literal, which no Python worker has to read."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), F.lit(f"array<struct<{ddl}>>"))))

@@ -20,9 +20,8 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quire.llm.common import cut, let, table
+from quire.llm.common import cut, let, literal_rows, table
 
 #: Characteristic sentences of licence families.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -196,10 +195,10 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """
     spark = docs.sparkSession
     k = len(model.families) + 1
-    rows = [(a, b, *map(float, w)) for (a, b), w in sorted(model.weights.items())]
-    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), *(T.StructField(f"w{i}", T.DoubleType()) for i in range(k))])
     # At most as many rows as the templates have pairs of words.
-    weights = spark.createDataFrame(rows, schema).select(F.xxhash64("a", "b").alias("pair"), *(f"w{i}" for i in range(k)))
+    rows = [{"a": a, "b": b} | {f"w{i}": float(x) for i, x in enumerate(w)} for (a, b), w in sorted(model.weights.items())]
+    weights = literal_rows(spark, rows, "a:string,b:string," + ",".join(f"w{i}:double" for i in range(k)))
+    weights = weights.select(F.xxhash64("a", "b").alias("pair"), *(f"w{i}" for i in range(k)))
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode_outer(F.split("text", r"\n")).alias("paragraph", "line"))
     pairs = lines.select("doc_id", "text_key", "paragraph", "line", _hashed(F.col("line"), 2).alias("pairs")).select("*", F.explode_outer("pairs").alias("pair"))
     hit = cut(pairs.join(F.broadcast(weights.select("pair")), "pair", "left_semi").select("doc_id", "text_key", "paragraph", "line").distinct())
@@ -214,7 +213,7 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
         return F.struct(F.get(F.array(*map(F.lit, model.families)), place - 1).alias("family"), (1 / norm).alias("probability"))
 
     found = scores.select("line", let(total, chosen).alias("c")).select("line", "c.*").filter(F.col("family").isNotNull() & (F.col("probability") >= LEAST_PROBABILITY))
-    texts = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "template_family string, template string")
+    texts = literal_rows(spark, [{"template_family": f, "template": t} for f, ts in TEMPLATES.items() for t in ts], "template_family:string,template:string")
     texts = texts.select("template_family", F.array_distinct(_hashed(F.col("template"), 3)).alias("t"))
     compared = found.withColumn("mine", F.array_distinct(_hashed(F.col("line"), 3))).join(F.broadcast(texts), F.col("family") == F.col("template_family"))
     # A paragraph may hold a template or be a part of one.
