@@ -24,7 +24,7 @@ SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_BYTES = 2000, 4000, 50_000
 #: Features must be in so many sampled documents, depend on the label (the G statistic), and keep so large a weight.
 LEAST_DOCS, LEAST_G, LEAST_WEIGHT = 4, 11.0, 0.02
 PREFIXES = (4, 5, 6, 7, 8)
-STEPS, RATE, L2, START, BALANCE = 200, 0.15, 1e-3, -4.0, 0.0
+STEPS, RATE, L2, START, BALANCE = 400, 0.3, 1e-3, -4.0, 0.0
 
 #: Bytes between words, and bytes that end a sentence.
 GAP = np.ones(256, bool)
@@ -83,39 +83,52 @@ def _g_statistic(toxic_with: np.ndarray, docs_with: np.ndarray, toxic: int, docs
     return out
 
 
+def _choose(texts: list[bytes], labels: np.ndarray, at_once: int = 200) -> np.ndarray:
+    """Sorted hashes of the features that depend on the label; counts are merged run by run, so memory follows the distinct features."""
+    known, docs_with, toxic_with = np.empty(0, U64), np.empty(0, np.int32), np.empty(0, np.int32)
+    for lo in range(0, len(texts), at_once):
+        own, toxic = [known], [toxic_with]
+        count = [docs_with]
+        for text, label in zip(texts[lo : lo + at_once], labels[lo : lo + at_once]):
+            h = np.unique(prefix_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]), GAP, PREFIXES)[0])
+            own.append(h)
+            count.append(np.ones(len(h), np.int32))
+            toxic.append(np.full(len(h), label, np.int32))
+        h, count, toxic = (np.concatenate(x) for x in (own, count, toxic))
+        order = np.argsort(h)
+        h, count, toxic = h[order], count[order], toxic[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+        known, docs_with, toxic_with = (h[first], np.add.reduceat(count, first), np.add.reduceat(toxic, first)) if len(first) else (known, docs_with, toxic_with)
+    kept = docs_with >= LEAST_DOCS
+    known, docs_with, toxic_with = known[kept], docs_with[kept].astype(np.int64), toxic_with[kept].astype(np.int64)
+    return known[_g_statistic(toxic_with, docs_with, int(labels.sum()), len(labels)) >= LEAST_G]
+
+
 def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     """Trains on labelled texts by full-batch Adagrad."""
-    parts, owner, first_sentence, total = [], [], [], 0
+    if not texts or labels.min() == labels.max():
+        rate = min(max(float(labels.mean()) if len(texts) else 0.0, 1e-3), 1 - 1e-3)
+        return Model(np.empty(0, U64), np.empty(0), float(np.log(rate / (1 - rate))))
+    features = _choose(texts, labels)
+    feature, sentence, owner, total = [], [], [], 0
     for i, text in enumerate(texts):
         data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
         begin = sentences(data, at)
         h, where = prefix_hashes(data, at, GAP, PREFIXES)
-        parts.append((h, np.searchsorted(begin, where, "right") - 1 + total, np.full(len(h), i)))
+        spot = np.minimum(np.searchsorted(features, h), max(len(features) - 1, 0))
+        hit = features[spot] == h if len(features) else np.zeros(len(h), bool)
+        feature.append(spot[hit].astype(np.int32))
+        sentence.append((np.searchsorted(begin, where[hit], "right") - 1 + total).astype(np.int32))
         owner.append(np.full(max(len(begin) - 1, 1), i))
         total += len(owner[-1])
-    if not texts or labels.min() == labels.max():
-        rate = min(max(float(labels.mean()) if len(texts) else 0.0, 1e-3), 1 - 1e-3)
-        return Model(np.empty(0, U64), np.empty(0), float(np.log(rate / (1 - rate))))
-    h, sentence, doc = (np.concatenate(x) for x in zip(*parts))
-    owner = np.concatenate(owner)
-    order = np.argsort(h, kind="stable")
-    h, sentence, doc = h[order], sentence[order], doc[order]
-    new = np.concatenate(([True], h[1:] != h[:-1]))
-    number = np.cumsum(new) - 1
-    pair_new = new | np.concatenate(([True], doc[1:] != doc[:-1]))
-    docs_with = np.bincount(number, pair_new)
-    kept = (docs_with >= LEAST_DOCS) & (_g_statistic(np.bincount(number, pair_new * labels[doc]), docs_with, labels.sum(), len(labels)) >= LEAST_G)
-    renumber = np.cumsum(kept) - 1
-    use = kept[number]
-    features = h[new][kept]
-    feature, sentence = renumber[number[use]].astype(np.int32), sentence[use].astype(np.int32)
+    feature, sentence, owner = (np.concatenate(x) for x in (feature, sentence, owner))
     weights, bias = np.zeros(len(features)), START
     square, bias_square = np.full(len(features), 1e-6), 1e-6
     y = labels.astype(float)
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** BALANCE
     for _ in range(STEPS):
         z = bias + np.bincount(sentence, weights[feature], total)
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(-np.logaddexp(0.0, -z))
         none = np.bincount(owner, -np.logaddexp(0.0, z), len(y))
         some = np.maximum(-np.expm1(none), 1e-12)
         factor = np.where(y > 0, -np.exp(none) / some, 1.0) * balance
