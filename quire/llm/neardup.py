@@ -98,15 +98,44 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array([np.unique(s).tobytes() for s in np.split(x, start[1:])] if len(has) else [], pa.binary())], names=["class", "shingles"])
 
 
-def _first_meetings(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Members of a group's two chunks that meet another one here for the first time."""
-    keys = np.array([np.frombuffer(p, np.int64) for p in pdf["keys"]])
-    tree = int(pdf["tree"].iloc[0])
-    needed = np.zeros(len(pdf), bool)
-    for lo in range(0, len(pdf), 256):
-        new = _new_pairs(keys, pdf, tree, slice(lo, lo + 256))
-        needed[lo : lo + 256] |= new.any(1)
-        needed |= new.any(0)
+def _first_meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of tasks (key, i, j) that lie together, the members that meet another one there for the first time."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        # The last task may go on in the next batch.
+        task = pdf[["key", "i", "j"]].to_numpy()
+        other = np.flatnonzero((task != task[-1]).any(1))
+        whole = int(other[-1]) + 1 if len(other) else 0
+        if whole:
+            yield _meeting(pd.concat([*held, pdf.iloc[:whole]]))
+            held = []
+        held.append(pdf.iloc[whole:])
+    if held:
+        yield _meeting(pd.concat(held))
+
+
+def _meeting(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The members of whole tasks that meet another one there for the first time."""
+    if not len(pdf):
+        return pdf
+    task = pdf[["key", "i", "j"]].to_numpy()
+    start = np.flatnonzero(np.concatenate(([True], (task[1:] != task[:-1]).any(1))))
+    size = np.diff(np.append(start, len(pdf)))
+    keys = np.frombuffer(b"".join(pdf["keys"]), np.int64).reshape(len(pdf), TREES)
+    tree, needed = pdf["tree"].to_numpy(), np.zeros(len(pdf), bool)
+    # Most groups are pairs, and those are looked at all at once.
+    two = start[(size == 2) & (task[start, 1] == task[start, 2])]
+    apart = (keys[two] != keys[two + 1]) | (np.arange(TREES) >= tree[two, None])
+    new = apart.all(1)
+    needed[two[new]] = needed[two[new] + 1] = True
+    for at, count in zip(start[(size > 2) | (task[start, 1] != task[start, 2])], size[(size > 2) | (task[start, 1] != task[start, 2])]):
+        group, own = pdf.iloc[at : at + count], keys[at : at + count]
+        for lo in range(0, count, 256):
+            meets = _new_pairs(own, group, int(tree[at]), slice(lo, lo + 256))
+            needed[at + lo : at + min(lo + 256, count)] |= meets.any(1)
+            needed[at : at + count] |= meets.any(0)
     return pdf.loc[needed, ["tree", "key", "i", "j", "chunk", "class", "size", "keys"]]
 
 
@@ -201,7 +230,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     tasks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, "chunk").alias("i"), F.greatest(o, "chunk").alias("j")))
     members = members.select("tree", "key", "class", "size", "chunk", pack.alias("keys"), F.explode(tasks).alias("task")).select("*", "task.i", "task.j").drop("task")
     shape = "tree int, key long, i int, j int, chunk int, class long, size long, keys binary"
-    needed = cut(members.groupBy("key", "i", "j").applyInPandas(_first_meetings, shape))
+    together = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    needed = cut(together.mapInPandas(_first_meetings, shape))
     wanted = needed.select("class").distinct().join(classes, "class").select(F.col("class_id").alias("doc_id")).distinct()
     sets = docs.join(wanted, "doc_id").select("bytes").mapInArrow(_sets, "class long, shingles binary")
     sets = sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
