@@ -1,19 +1,23 @@
 """Operator 7: near-duplicate embeddings by product quantisation with inverted lists.
 
 Unit vectors go to the list of their nearest coarse centroid; what is left
-after the centroid is cut into subspaces and coded.  A vector probes the lists of its
-PROBES nearest centroids that are at most MARGIN farther than the nearest.  There, one
-table of its distances to the codebooks gives its approximate distance to every
-coded vector.  Each code's own error is kept, so by the triangle inequality the
-approximation rules out no pair within the wanted distance; what it leaves is
-compared exactly, in double precision.  Recall is thus a matter of the probes
-alone; the README has it measured.
+after the centroid is cut into subspaces and coded.  A vector probes every list whose
+region begins within half the wanted distance: two vectors of different lists lie
+on either side of the plane between their centroids, so if they are within the
+distance, one of them is within half of it from that plane and probes the other's
+list.  There, one table of its distances to the codebooks gives its approximate
+distance to every coded vector.  Each code's own error is kept, so by the triangle
+inequality the approximation rules out no pair within the wanted distance; what it
+leaves is compared exactly, in double precision.  So no link is missed.
+
+A vector is sent once to each group of near lists, however many of them it probes.
 
 Equal vectors are one class and enter once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +33,9 @@ THRESHOLD = 0.95
 #: Vectors that train centroids and codebooks, at most; vectors to a list on average; lists, at most.
 SAMPLE, LIST_SIZE, MOST_LISTS = 20_000, 256, 4096
 SUBSPACES, CODES, STEPS = 8, 256, 8
-#: A vector probes its nearest lists, so many at most, of those not farther than its own by the margin.
-MARGIN, PROBES = 0.1, 8
-#: Members or queries of a list that one task compares.
+#: Lists to a group, which is searched together.
+GROUP = 32
+#: A quarter of the members or queries of a group that one task compares.
 CHUNK = 2000
 LAST_ID = (1 << 63) - 1
 
@@ -50,22 +54,39 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = STEPS)
     return centroids
 
 
+def _in_order(centroids: np.ndarray) -> np.ndarray:
+    """An order in which near centroids are in the same group of GROUP, by halving along the widest direction."""
+    if len(centroids) <= GROUP:
+        return np.arange(len(centroids))
+    away = centroids - centroids.mean(0)
+    order = np.argsort(away @ np.linalg.svd(away, full_matrices=False)[2][0], kind="stable")
+    half = (len(order) // GROUP + 1) // 2 * GROUP
+    return np.concatenate([part[_in_order(centroids[part])] for part in (order[:half], order[half:])])
+
+
 class Index:
     """Coarse centroids and a codebook for each subspace of the residuals."""
 
     def __init__(self, sample: np.ndarray, lists: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.centroids = k_means(sample, min(lists, len(sample)), rng)
+        self.centroids = self.centroids[_in_order(self.centroids)]
         left = sample - self.centroids[_nearest(sample, self.centroids)]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [k_means(left[:, c], min(CODES, len(left)), rng) for c in self.cuts]
 
-    def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Each vector's own list and all lists it probes, the own one among them."""
-        far = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * x @ self.centroids.T, 0))
-        few = np.argsort(far, axis=1, kind="stable")[:, :PROBES]
-        own = few[:, 0]
-        return own, [order[row[order] <= row[order[0]] + margin] for row, order in zip(far, few)]
+    def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Each vector's own list and all lists it probes, the own one among them.
+
+        Of two vectors within the radius, one at least probes the other's own list.
+        """
+        far = (x**2).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
+        own = np.argmin(far, 1)
+        norm = (self.centroids**2).sum(1)
+        apart = np.sqrt(np.maximum(norm[own][:, None] + norm - 2 * self.centroids[own] @ self.centroids.T, 0))
+        # The difference of squares is twice the centroids' distance times the distance from the plane between them.
+        near = far - far[np.arange(len(x)), own][:, None] <= radius * apart + 1e-6
+        return own, [np.flatnonzero(row) for row in near]
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and how far each vector is from what its code stands for."""
@@ -89,9 +110,9 @@ def _unit(batch: pa.RecordBatch) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
-def _dealing(sent, margin: float):
+def _dealing(sent, radius: float, kind: pa.DataType):
     """Each class with its list, code, error and probes."""
-    schema = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("v", pa.list_(pa.float64())), ("own", pa.int32()), ("probes", pa.list_(pa.int32())), ("code", pa.binary()), ("error", pa.float64())])
+    schema = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("v", pa.list_(kind)), ("own", pa.int32()), ("probes", pa.list_(pa.int32())), ("code", pa.binary()), ("error", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = sent.value
@@ -99,66 +120,77 @@ def _dealing(sent, margin: float):
             for lo in range(0, whole.num_rows, 1024):
                 batch = whole.slice(lo, 1024)
                 x = _unit(batch)
-                own, probes = index.probes(x, margin)
+                own, probes = index.probes(x, radius)
                 codes, error = index.encode(x, own)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("class"), batch.column("size"), batch.column("v"), pa.array(own.astype(np.int32)), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], schema=schema
+                    [batch.column("class"), batch.column("size"), batch.column("v").cast(pa.list_(kind)), pa.array(own.astype(np.int32)), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], schema=schema
                 )
 
     return run
 
 
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each node's component after a and b are connected; root holds the ones before."""
+    while True:
+        one, two = root[a], root[b]
+        apart = one != two
+        if not apart.any():
+            return root
+        a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _compare(sent, threshold: float):
-    """Exact links of one task, queries against members of a list: what they count, and the least class each is connected to."""
-    radius = float(np.sqrt(2 - 2 * threshold))
+    """Exact links of one task, queries against members of a group of lists: what they count, and the least class each is connected to."""
+    radius = _radius(threshold)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         index: Index = sent.value
-        which = int(pdf["list"].iloc[0])
         member = pdf["as_member"].to_numpy()
-        q, m = np.flatnonzero(~member), np.flatnonzero(member)
-        ids, size, own = (pdf[c].to_numpy() for c in ("class", "size", "own"))
-        raw = np.array(pdf["v"].tolist(), np.float64)
-        norm = np.sqrt((raw**2).sum(1))
-        linked = np.zeros((len(q), len(m)), bool)
-        if len(q) and len(m):
-            codes, error = np.array([np.frombuffer(c, np.uint8) for c in pdf["code"].iloc[m]]), pdf["error"].to_numpy()[m]
-            for lo in range(0, len(q), 256):
-                part = q[lo : lo + 256]
-                a, b = np.nonzero(index.near(raw[part] / norm[part, None], which, codes, error, radius))
-                for k in range(0, len(a), 50_000):
-                    one, two = a[k : k + 50_000], b[k : k + 50_000]
-                    cosine = np.einsum("ij,ij->i", raw[part[one]], raw[m[two]]) / (norm[part[one]] * norm[m[two]])
-                    linked[lo + one, two] = cosine >= threshold
-            linked &= ids[q][:, None] != ids[m][None, :]
-        if not linked.any():
-            return pd.DataFrame({"class": np.empty(0, np.int64), "links": np.empty(0, np.int64), "least": np.empty(0, np.int64)})
-        # A member that doesn't probe the query's list can count the pair only here.
-        probed = np.zeros((len(m), len(index.centroids)), bool)
-        for k, p in enumerate(pdf["probes"].iloc[m]):
-            probed[k, p] = True
-        alone = linked & (own[q] != which)[:, None] & ~probed[:, own[q]].T
-        links = np.zeros(len(pdf), np.int64)
-        links[q] = linked @ size[m]
-        links[m] = alone.T @ size[q]
-        least_q, least_m = ids[q], ids[m]
-        while True:
-            lower_q = np.minimum(least_q, np.where(linked, least_m[None, :], LAST_ID).min(1))
-            lower_m = np.minimum(least_m, np.where(linked, lower_q[:, None], LAST_ID).min(0))
-            if (lower_q == least_q).all() and (lower_m == least_m).all():
-                break
-            least_q, least_m = lower_q, lower_m
-        least = ids.copy()
-        least[q], least[m] = least_q, least_m
-        some = (links > 0) | (least != ids)
-        some[q] |= linked.any(1)
-        some[m] |= linked.any(0)
-        return pd.DataFrame({"class": ids[some], "links": links[some], "least": least[some]})
+        size, own = (pdf[c].to_numpy() for c in ("size", "own"))
+        classes, node = np.unique(pdf["class"].to_numpy(), return_inverse=True)
+        links, root = np.zeros(len(classes), np.int64), np.arange(len(classes))
+        queries = np.flatnonzero(~member)
+        if len(queries) and member.any():
+            raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            norm = np.sqrt((raw**2).sum(1))
+            at = np.repeat(queries, [len(p) for p in pdf["probes"].iloc[queries]])
+            probed = np.concatenate(pdf["probes"].iloc[queries].to_numpy())
+            for which in np.unique(own[member]):
+                q, m = at[probed == which], np.flatnonzero(member & (own == which))
+                if not len(q):
+                    continue
+                codes, error = np.array([np.frombuffer(c, np.uint8) for c in pdf["code"].iloc[m]]), pdf["error"].to_numpy()[m]
+                # A member that doesn't probe the query's list can count the pair only here.
+                back = np.zeros((len(m), len(index.centroids)), bool)
+                for k, p in enumerate(pdf["probes"].iloc[m]):
+                    back[k, p] = True
+                for lo in range(0, len(q), 256):
+                    part = q[lo : lo + 256]
+                    a, b = np.nonzero(index.near(raw[part] / norm[part, None], which, codes, error, radius))
+                    for k in range(0, len(a), 50_000):
+                        one, two, of = part[a[k : k + 50_000]], m[b[k : k + 50_000]], b[k : k + 50_000]
+                        cosine = np.einsum("ij,ij->i", raw[one], raw[two]) / (norm[one] * norm[two])
+                        linked = (cosine >= threshold) & (node[one] != node[two])
+                        one, two, of = one[linked], two[linked], of[linked]
+                        np.add.at(links, node[one], size[two])
+                        alone = (own[one] != which) & ~back[of, own[one]]
+                        np.add.at(links, node[two[alone]], size[one[alone]])
+                        root = _unite(root, node[one], node[two])
+        some = (links > 0) | (root != np.arange(len(classes)))
+        return pd.DataFrame({"class": classes[some], "links": links[some], "least": classes[root[some]]})
 
     return run
 
 
-def join(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+def _radius(threshold: float) -> float:
+    """The distance of unit vectors whose cosine is the threshold."""
+    return math.sqrt(max(2 - 2 * threshold, 0.0))
+
+
+def join(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     n_links counts the other vectors of cosine threshold or more, component_id is
@@ -169,7 +201,8 @@ def join(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGI
     null vec_id counts as the largest.  Other columns are ignored; an empty table
     gives no rows.
     """
-    rows = vectors.select(F.coalesce("vec_id", F.lit(LAST_ID)).cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.coalesce("vec_id", F.lit(LAST_ID)).cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("dim", F.when(fine, F.size("v")))
     dims = rows.filter("dim is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
@@ -187,17 +220,22 @@ def join(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGI
     sample = packed.orderBy(F.xxhash64("class")).limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
     x = np.array(sample, np.float64)
     sent = classes.sparkSession.sparkContext.broadcast(Index(x / np.sqrt((x**2).sum(1))[:, None], lists))
-    dealt = cut(packed.mapInArrow(_dealing(sent, margin), "class long, size long, v array<double>, own int, probes array<int>, code binary, error double"))
-    visits = dealt.select("*", F.explode("probes").alias("list"))
-    sizes = visits.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("q_chunks"), F.ceil(F.sum((F.col("list") == F.col("own")).cast("int")) / CHUNK).cast("int").alias("m_chunks"))
-    # At most MOST_LISTS rows.
-    visits = visits.join(F.broadcast(sizes), "list").filter("m_chunks > 0")
+    deal = _dealing(sent, _radius(threshold), pa.float32() if kind == "float" else pa.float64())
+    dealt = cut(packed.mapInArrow(deal, f"class long, size long, v array<{kind}>, own int, probes array<int>, code binary, error double"))
+    group_of = lambda p: F.floor(p / GROUP).cast("int")
+    home = group_of(F.col("own"))
+    visits = dealt.select("*", F.explode(F.array_distinct(F.transform("probes", group_of))).alias("group"))
+    sizes = visits.groupBy("group").agg(F.ceil(F.count("*") / (4 * CHUNK)).cast("int").alias("q_chunks"), F.ceil(F.sum((F.col("group") == home).cast("int")) / (4 * CHUNK)).cast("int").alias("m_chunks"))
+    # At most MOST_LISTS / GROUP rows.
+    visits = visits.join(F.broadcast(sizes), "group").filter("m_chunks > 0")
     hashed = F.hash("class")
     to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    queries = visits.select("*", F.lit(False).alias("as_member"), F.pmod(hashed, "q_chunks").alias("i"), to(F.col("m_chunks")).alias("j"))
-    members = visits.filter("list = own").select("*", F.lit(True).alias("as_member"), to(F.col("q_chunks")).alias("i"), F.pmod(hashed, "m_chunks").alias("j"))
+    here = F.filter("probes", lambda p: group_of(p) == F.col("group"))
+    queries = visits.withColumns({"probes": here, "code": F.lit(None).cast("binary"), "error": F.lit(None).cast("double")})
+    queries = queries.select("*", F.lit(False).alias("as_member"), F.pmod(hashed, "q_chunks").alias("i"), to(F.col("m_chunks")).alias("j"))
+    members = visits.filter(F.col("group") == home).select("*", F.lit(True).alias("as_member"), to(F.col("q_chunks")).alias("i"), F.pmod(hashed, "m_chunks").alias("j"))
     tasks = queries.unionByName(members.select(queries.columns)).drop("q_chunks", "m_chunks")
-    found = cut(tasks.groupBy("list", "i", "j").applyInPandas(_compare(sent, threshold), "class long, links long, least long"))
+    found = cut(tasks.groupBy("group", "i", "j").applyInPandas(_compare(sent, threshold), "class long, links long, least long"))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     whole = components(found.filter("class != least").select(F.col("class").alias("a"), F.col("least").alias("b")))
     joined = classes.select("class", "least_id", "size").join(links, "class", "left").join(whole.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))

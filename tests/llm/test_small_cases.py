@@ -313,6 +313,22 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.join(df.filter("vec_id = 601")).collect()[0].n_links == 0
 
 
+def test_embeddings_of_one_group_in_many_lists(spark, monkeypatch):
+    """A third of the vectors are near copies of one, spread over more lists than any fixed number of probes."""
+    monkeypatch.setattr(embeddings, "LIST_SIZE", 10)
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=24)
+    x = rng.normal(size=(1500, 24))
+    x[:500] = centre + 0.25 * rng.normal(size=(500, 24))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.join(df).collect()}
+    assert want.sum() > 10_000
+    assert [got[k] for k in range(len(x))] == want.tolist()
+
+
 def test_pii(spark, docs, none):
     texts = [
         "mail a.b@c-d.example.org, x@y.z1_q@w.v or @no", "ip 1.22.333.4 and 10.0.0.255.7", "card 4111 1111 1111 1111 or 4111 1111 1111 1112", "call +1 (743) 555-3824 now", "IBAN DE89 3704 0044 0532 0130 00",
