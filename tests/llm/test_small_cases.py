@@ -213,6 +213,23 @@ def test_toxicity(spark, none):
     assert toxicity.remove_toxic(df, lab.limit(0)).count() == len(texts)
 
 
+def test_toxicity_of_long_texts(spark):
+    """Calm sentences add nothing up, however many there are, and one toxic sentence among them is found."""
+    rng = random.Random(6)
+    pool = words(7, 400).split()
+    calm = lambda n: ". ".join(" ".join(rng.choice(pool) for _ in range(5)) for _ in range(n)) + "."
+    texts, labels = [], []
+    for i in range(400):
+        bad = i % 8 == 0
+        texts.append((i, calm(rng.randint(1, 8)) + " you " + rng.choice(["dolt", "cretin"]) + "." if bad else calm(rng.randint(2, 12))))
+        labels.append((i, int(bad)))
+    long = {1000: calm(200_000 // 31), 1001: calm(1_000_000 // 31)}
+    long |= {k + 10: t[: len(t) // 2 + 1] + " you dolt. " + t[len(t) // 2 + 1 :] for k, t in long.items()}
+    df = spark.createDataFrame(texts + sorted(long.items()), "doc_id long, text string")
+    kept = toxicity.remove_toxic(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert sorted(r.doc_id for r in kept.filter("doc_id >= 1000").select("doc_id").collect()) == [1000, 1001]
+
+
 def test_lm_is_a_distribution_and_base_is_exact(spark, docs, none):
     training = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
     got = lmscore.score(docs, training).collect()
