@@ -10,7 +10,8 @@ WIDTH bytes that two documents share have the same least hash among their
    bucket goes on, so a frequent key is sent once per task.  Buckets find the keys
    that several tasks have.
 3. Documents learn which of their keys are shared, and send the bytes around
-   each such key, a stretch of at most 74 bytes unless the text repeats itself.
+   each such key, a stretch of at most 74 bytes unless the text repeats itself;
+   longer ones are cut into pieces that overlap by all but one byte of a window.
    Stretches are dealt by key and sorted; equal ones enter once, with their first
    document.  Per batch of keys a run-length index of the stretches is built (see
    rindex): matching statistics from its run heads tell which windows occur again,
@@ -41,8 +42,11 @@ WIDTH, GRAM = 50, 24
 BUCKET_BYTES = 4 << 20
 #: Keys that a task gathers before it sends them on.
 FLUSH_KEYS = 1 << 20
-#: Symbols of an index; the stretches of a key that have more are indexed in parts that pass on what is new.
+#: Symbols of an index; the stretches of a key that have more are indexed in parts that pass on what is new,
+#: and each part meets what earlier ones passed on and may hold a window of its own, by half as many symbols at once.
 INDEX_SYMBOLS = MOST // 2
+#: Bytes of a stretch, at most, and stretches of a part, copies included.
+PIECE, PART = 4096, 100_000
 LAST_ID = (1 << 63) - 1
 
 
@@ -127,6 +131,54 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc[starts], "keys": [k.tobytes() for k in np.split(key, starts[1:])] if len(doc) else []})
 
 
+def _pieces(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges cut into pieces of PIECE bytes at most, such that each window is in just one."""
+    step = PIECE - WIDTH + 1
+    count = -(-(end - begin - WIDTH + 1) // step)
+    start = np.repeat(begin, count) + step * ranges(np.zeros_like(begin), count)
+    return start, np.minimum(start + PIECE, np.repeat(end, count))
+
+
+def _window_hashes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all windows of the strings, and the string each is in."""
+    lengths = np.array([len(s) for s in strings])
+    g = gram_hashes(np.frombuffer(b"".join(strings), np.uint8))
+    at = ranges(np.cumsum(lengths) - lengths, lengths - WIDTH + 1)
+    h = (g[at] * U64(0x9E3779B97F4A7C15) + g[at + GRAM]) * U64(0xD6E8FEB86659FD93) + g[at + WIDTH - GRAM]
+    string = np.repeat(np.arange(len(strings)), lengths - WIDTH + 1)
+    order = np.argsort(h, kind="stable")
+    return h[order], string[order]
+
+
+class _Carried:
+    """Strings with new windows of a key's earlier parts, and their documents."""
+
+    def __init__(self):
+        self.strings: list[tuple[bytes, int]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, more: list[tuple[bytes, int]]) -> None:
+        if more:
+            h, string = _window_hashes([s for s, _ in more])
+            self.parts.append((h, string + len(self.strings)))
+            self.strings += more
+
+    def meeting(self, strings: list[bytes]) -> list[list[tuple[bytes, int]]]:
+        """Those that may share a window with one of the strings, in lists of bounded size; one list at least."""
+        out, size = [[]], 0
+        if self.parts:
+            own = np.unique(_window_hashes(strings)[0])
+            which = [string[own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h] for h, string in self.parts]
+            for k in np.unique(np.concatenate(which)):
+                more = len(self.strings[k][0]) + 1
+                if out[-1] and size + more > INDEX_SYMBOLS // 2:
+                    out.append([])
+                    size = 0
+                out[-1].append(self.strings[k])
+                size += more
+        return out
+
+
 def _stretches(bits: int):
     """The bytes around each shared key of a document: (key, doc_id, text_key, start, bytes)."""
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary())])
@@ -143,7 +195,7 @@ def _stretches(bits: int):
             begin[1:] &= ~wanted[:-1] | (key[1:] != key[:-1]) | (text[1:] != text[:-1])
             end = wanted.copy()
             end[:-1] &= ~wanted[1:] | (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-            begin, end = np.flatnonzero(begin), np.flatnonzero(end) + WIDTH
+            begin, end = _pieces(np.flatnonzero(begin), np.flatnonzero(end) + WIDTH)
             lengths = end - begin
             own = text[begin]
             for lo in range(0, len(begin), 20_000):
@@ -195,57 +247,71 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed ranges (doc_id, text_key, start, stop) from stretches that are sorted by key and document."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
     held: list = []  # of (key, doc, text_key, start, bytes)
-    carried: list[tuple[bytes, int]] = []  # strings with new windows of earlier parts of a key, and their documents
+    distinct: set[bytes] = set()  # of held
+    carried = _Carried()
 
     def process(rows: list, more: list[tuple[bytes, int]]):
-        owner_of: dict[bytes, int] = {}
+        """Removed ranges of the rows' stretches, and the range of each distinct one (with its first document) that has new windows."""
         number: dict[bytes, int] = {}
-        for s, d in more:
-            if s not in number:
-                number[s] = len(number)
-                owner_of[s] = d
+        owner: list[int] = []
         which = np.empty(len(rows), np.int64)
         for i, r in enumerate(rows):
-            s = r[4]
-            if s not in number:
-                number[s] = len(number)
-                owner_of[s] = r[1]
-            elif r[1] < owner_of[s]:
-                owner_of[s] = r[1]
-            which[i] = number[s]
-        strings = list(number)
-        owner = np.array([owner_of[s] for s in strings], np.int64)
-        cols = [np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3)]
-        found, news = _marks(strings, which, owner, *cols)
-        return found, [(s[lo:hi], int(o)) for s, o, (lo, hi) in zip(strings, owner, news) if lo >= 0]
+            which[i] = k = number.setdefault(r[4], len(number))
+            if k == len(owner):
+                owner.append(r[1])
+            elif r[1] < owner[k]:
+                owner[k] = r[1]
+        own = len(number)
+        for s, d in more:
+            k = number.setdefault(s, len(number))
+            if k == len(owner):
+                owner.append(d)
+            elif d < owner[k]:
+                owner[k] = d
+        strings, owners = list(number), np.array(owner, np.int64)
+        found, news = _marks(strings, which, owners, *(np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3)))
+        return found, strings[:own], owners[:own], news[:own]
 
     def emit(found):
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2].astype(np.int32)), pa.array(found[3].astype(np.int32))], schema=schema)
 
-    size = 0
+    def finish(rows: list, pass_on: bool = False):
+        """Rows against one another and all that is carried; if asked, what is new in them is carried from then on."""
+        lo = hi = None
+        for more in carried.meeting(list({x[4] for x in rows})):
+            found, strings, owner, news = process(rows, more)
+            yield emit(found)
+            # A window that is new is so in every list's range.
+            ends = np.where(news[:, 0] >= 0, news[:, 1], 0)
+            lo, hi = (news[:, 0], ends) if lo is None else (np.maximum(lo, news[:, 0]), np.minimum(hi, ends))
+        if pass_on:
+            carried.add([(s[a:b], int(o)) for s, o, a, b in zip(strings, owner, lo, hi) if a >= 0 and b - a >= WIDTH])
+
+    size = 0  # symbols of distinct
     for batch in batches:
         for r in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text_key", "start", "bytes"))):
-            if held and r[0] != held[-1][0] and (size >= INDEX_SYMBOLS // 2 or carried):
-                yield emit(process(held, carried)[0])
-                held, size, carried = [], 0, []
-            elif held and size + len(r[4]) + 1 > INDEX_SYMBOLS:
+            more = 0 if r[4] in distinct else len(r[4]) + 1
+            if held and r[0] != held[-1][0] and (size >= INDEX_SYMBOLS // 2 or len(held) >= PART // 2 or carried.parts):
+                yield from finish(held)
+                held, distinct, size, carried, more = [], set(), 0, _Carried(), len(r[4]) + 1
+            elif held and (size + more > INDEX_SYMBOLS or len(held) >= PART):
                 # Keys before the last are whole; the last goes on, with what was new in it.
                 last = held[-1][0]
                 done = [x for x in held if x[0] != last]
                 part = [x for x in held if x[0] == last]
                 if done:
-                    yield emit(process(done, [])[0])
-                    held, size = part, sum(len(x[4]) + 1 for x in part)
-                if size + len(r[4]) + 1 > INDEX_SYMBOLS // 2:
-                    distinct = {x[4] for x in held}
-                    if sum(map(len, distinct)) + len(distinct) > INDEX_SYMBOLS // 4 or len(held) > 100_000:
-                        found, carried = process(held, carried)
-                        yield emit(found)
-                        held, size = [], 0
+                    yield from finish(done)
+                    held, distinct = part, {x[4] for x in part}
+                    size = sum(map(len, distinct)) + len(distinct)
+                if r[0] == last and (size > INDEX_SYMBOLS // 4 or len(held) >= PART // 4):
+                    yield from finish(held, True)
+                    held, distinct, size = [], set(), 0
+                more = 0 if r[4] in distinct else len(r[4]) + 1
             held.append(r)
-            size += len(r[4]) + 1
+            distinct.add(r[4])
+            size += more
     if held:
-        yield emit(process(held, carried)[0])
+        yield from finish(held)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,10 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, embeddings, licences, lmscore, mixing, neardup, pii, suffixdedup, toxicity
+from quire.llm import chat, decontaminate, embeddings, licences, lmscore, mixing, neardup, pii, rindex, suffixdedup, toxicity
 from quire.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, score double, _key string"
@@ -84,6 +85,34 @@ def test_suffix_dedup_random_and_parts(spark, monkeypatch):
     assert got == brute_removed(rows)
 
 
+def test_suffix_dedup_of_texts_that_repeat_themselves(spark):
+    """Stretches longer than an index, of periods that do and don't divide their pieces."""
+    rows = [(1, "a" * 1_100_000), (2, "x" + "a" * 60 + "y"), (3, "abcdefg" * 160_000), (4, "zz" + "efgabcd" * 900 + "a" * 49), (5, "a" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in suffixdedup.deduplicate(df, with_text=False).collect()), key=str)
+    assert got == brute_removed(rows)
+
+
+def test_suffix_dedup_of_a_passage_in_many_contexts(monkeypatch):
+    """What the parts of a key pass on is more than an index holds."""
+    monkeypatch.setattr(rindex, "MOST", 1 << 13)
+    monkeypatch.setattr(suffixdedup, "INDEX_SYMBOLS", 1 << 12)
+    rng = random.Random(8)
+    context = lambda: bytes(rng.choice(b"abcdefghij") for _ in range(25))
+    pool = [context() + b"one passage of 24 bytes." + context() for _ in range(700)]
+    # Rows repeat, share some of their windows, or are alone.
+    texts = [rng.choice([rng.choice(pool), context()[:12] + rng.choice(pool)[12:], rng.choice(pool)[:60] + context()[:14]]) for _ in range(1500)]
+    columns = [[1] * 1500, list(range(1500)), list(range(1500)), [0] * 1500]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(texts, pa.binary())], names=["key", "doc_id", "text_key", "start", "bytes"])
+    gone = {i: bytearray(len(t)) for i, t in enumerate(texts)}
+    for found in suffixdedup._index(iter([batch])):
+        for r in found.to_pylist():
+            gone[r["doc_id"]][r["start"] : r["stop"]] = b"\1" * (r["stop"] - r["start"])
+    want = brute_removed([(i, t.decode()) for i, t in enumerate(texts)])
+    assert sorted(((i, sum(g)) for i, g in gone.items()), key=str) == sorted(((w[0], w[2]) for w in want), key=str)
+    assert sum(w[2] < w[1] for w in want) > 300
+
+
 def brute_contamination(rows, items):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     import re
