@@ -273,7 +273,7 @@ def _(spark, d):
 
 @query("fn_15_similarity")
 def _(spark, d):
-    return t.lines(spark, d).select("line_id", text.similarity(F.substring("text", 1, 40), F.substring(F.translate("text", "eio", "oei"), 1, 40)).alias("ratio"))
+    return t.lines(spark, d).select("line_id", text.similarity(F.col("text"), F.translate("text", "eio", "oei")).alias("ratio"))
 
 
 @query("fn_16_folio_shapes", r"SELECT line_id, doc_id % 5 <> 0 AND regexp_matches(f, '^[-‐–—－]\s*\S{1,4}\s*[-‐–—－]$') AS folio, regexp_matches(n, '^\s*\d{1,3}\s+\S') AND regexp_matches(n, '\p{Ll}') AS footnote FROM (SELECT line_id, doc_id, CASE WHEN doc_id % 5 = 0 THEN text ELSE '— ' || doc_id || ' —' END AS f, (line_idx || ' ' || text) AS n FROM ln)", t.LINES)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text
+from quire.plans import registry, testbed
 
 GREEK = [chr(c) for c in (*range(0x370, 0x400), *range(0x1F00, 0x2000)) if unicodedata.category(chr(c))[0] == "L" and unicodedata.normalize("NFC", chr(c)) == chr(c)]
 
@@ -83,3 +84,11 @@ def test_splits_are_stable_and_near_their_shares(spark):
     got = run(spark, text.assign_split, ids)
     assert got == run(spark, text.assign_split, ids)
     assert abs(got.count("train") / 3000 - 0.8) < 0.03 and abs(got.count("dev") / 3000 - 0.1) < 0.02
+
+
+def test_similarity_query_compares_whole_lines(spark):
+    lines = {r.line_id: r.text for r in testbed.lines(spark, "/root/testdata/sf0.001").collect()}
+    got = {r.line_id: r.ratio for r in registry.QUERIES["fn_15_similarity"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(lines) and max(map(len, lines.values())) > 40
+    swap = str.maketrans("eio", "oei")
+    assert all(got[k] == pytest.approx(difflib.SequenceMatcher(None, x, x.translate(swap)).ratio()) for k, x in lines.items())
