@@ -432,11 +432,11 @@ def _(spark, d):
 @query(
     "src_19_block_reply",
     r"""SELECT doc_id, line_idx AS block, line, text, x // 10 * 700 // 1000 AS x FROM (SELECT doc_id, line_idx, least(x, 1000) * 10 AS x, unnest(f) AS text, unnest(range(len(f))) AS line FROM (
-    SELECT doc_id, line_idx, x, list_filter(list_transform(string_split(text, '. '), lambda p: trim(p)), lambda p: p <> '') AS f FROM ln WHERE line_idx % 3 <> 2 AND line_idx < 30))""",
+    SELECT doc_id, line_idx, x, list_filter(list_transform(string_split(text, '. '), lambda p: trim(p)), lambda p: p <> '') AS f FROM ln WHERE line_idx % 3 <> 2))""",
     t.LINES,
 )
 def _(spark, d):
-    b = t.lines(spark, d).filter("line_idx < 30")
+    b = t.lines(spark, d)
     label = F.when(F.col("line_idx") % 3 == 2, "image").otherwise("text")
     one = F.concat(F.lit("<BLOCK>"), label, F.lit("["), F.col("x"), F.lit(","), F.lit(0), F.lit(","), F.lit(900), F.lit(","), F.lit(500), F.lit("]<FORK>"), F.replace(F.col("text"), F.lit(". "), F.lit("\n")))
     g = b.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", one.alias("v")))), lambda s: s["v"]), "").alias("payload"))

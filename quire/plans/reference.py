@@ -600,10 +600,10 @@ def _(spark, d):
 
 
 @query("top_01_ranked_candidates", f"""SELECT token, candidate, rank FROM (SELECT token, candidate, row_number() OVER (PARTITION BY token ORDER BY layer, candidate) AS rank FROM (
-    SELECT DISTINCT token, candidate FROM (SELECT token, substr(token, 1, p - 1) || 'a' || substr(token, p + 1) AS candidate FROM (SELECT token, unnest(range(1, length(token) + 1)) AS p FROM (SELECT DISTINCT token FROM tk WHERE script = 'en' AND length(token) <= 8)) WHERE substr(token, p, 1) = 'e')) c
+    SELECT DISTINCT token, candidate FROM (SELECT token, substr(token, 1, p - 1) || 'a' || substr(token, p + 1) AS candidate FROM (SELECT token, unnest(range(1, length(token) + 1)) AS p FROM (SELECT DISTINCT token FROM tk WHERE script = 'en' AND length(token) <= 64)) WHERE substr(token, p, 1) = 'e')) c
     JOIN lk ON lk.lexicon = 'en' AND lk.key = {_KEY.format('c.candidate')}) WHERE rank <= 3""", t.LINES, _TOKENS, t.LEXICON, _KNOWN)
 def _(spark, d):
-    words = _words(spark, d).filter("script = 'en' and length(token) <= 8").select("token").distinct()
+    words = _words(spark, d).filter("script = 'en'").select("token").distinct()
     made = words.select("token", F.explode(suggest.confusion_candidates(F.col("token"), [("e", "a")])).alias("candidate"), F.lit("en").alias("lexicon"))
     return suggest.ranked(made, t.lexicon(spark, d)).select("token", "candidate", F.col("rank").cast("long").alias("rank"))
 
@@ -635,19 +635,19 @@ def _(spark, d):
     return fine.groupBy("doc_id", "line_idx").agg(F.count("*").alias("n"))
 
 
-_SUBSTITUTED = "sb AS (SELECT DISTINCT token, substr(token, 1, p - 1) || b || substr(token, p + 1) AS candidate FROM (SELECT DISTINCT token, unnest(range(1, length(token) + 1)) AS p FROM tk WHERE length(token) <= 12), (VALUES ('o', 'v'), ('e', 'i')) s(a, b) WHERE substr(token, p, 1) = a)"
+_SUBSTITUTED = "sb AS (SELECT DISTINCT token, substr(token, 1, p - 1) || b || substr(token, p + 1) AS candidate FROM (SELECT DISTINCT token, unnest(range(1, length(token) + 1)) AS p FROM tk WHERE length(token) <= 64), (VALUES ('o', 'v'), ('e', 'i')) s(a, b) WHERE substr(token, p, 1) = a)"
 
 
 @query("set_02_substitutions", "SELECT token, string_agg(candidate, ' ' ORDER BY candidate) AS candidates FROM sb GROUP BY token", t.LINES, _TOKENS, _SUBSTITUTED)
 def _(spark, d):
-    words = _words(spark, d).filter("length(token) <= 12").select("token").distinct()
+    words = _words(spark, d).select("token").distinct()
     made = words.select("token", suggest.confusion_candidates(F.col("token"), [("o", "v"), ("e", "i")]).alias("c"))
     return made.filter(F.size("c") > 0).select("token", F.array_join("c", " ").alias("candidates"))
 
 
 @query("fn_13_confusion_candidates", "SELECT token, candidate FROM sb", t.LINES, _TOKENS, _SUBSTITUTED)
 def _(spark, d):
-    words = _words(spark, d).filter("length(token) <= 12").select("token").distinct()
+    words = _words(spark, d).select("token").distinct()
     return words.select("token", F.explode(suggest.confusion_candidates(F.col("token"), [("o", "v"), ("e", "i")])).alias("candidate"))
 
 
