@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import cut, let, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, in lower-cased texts and in texts as they are.
+GAP, RAW_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPAN, GRAM = 13, 5
 #: Window starts in a block, and the bits that hold a place in it.
 BLOCK, PLACE_BITS = 1024, 11
@@ -27,9 +28,18 @@ BLOCK, PLACE_BITS = 1024, 11
 BROADCAST_ROWS = 200_000
 
 
+def _split(text: Column, gap: str) -> Column:
+    # Splitting at gaps takes a small part of the time that Java's matcher needs to find words.
+    return F.coalesce(F.array_remove(F.split(text, gap, -1), ""), F.array().cast("array<string>"))
+
+
 def words(text: Column) -> Column:
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.coalesce(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return _split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), GAP)
+
+
+def word_count(text: Column) -> Column:
+    """How many words a text has; lower-casing changes no word's bounds."""
+    return F.size(_split(text, RAW_GAP))
 
 
 def _blocks(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,18 +52,29 @@ def _blocks(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.explode_outer("_cut").alias("_b")).filter("_b is not null").select(*keys, "_b.at", "_b.words")
 
 
-def _coded(value: Column, place: Column) -> Column:
-    """A hash whose low bits are replaced by a place, so that minima know where they are."""
-    high = F.shiftleft(F.shiftrightunsigned(value, PLACE_BITS), PLACE_BITS)
-    return high.bitwiseOR((place - 1).cast("long"))
+def _grams(hashes: Column, length: int, last: Column) -> Column:
+    """Hashes of all runs of so many words that start up to a place (from 1); the low bits are the place, so that minima know where they are."""
+    high = F.lit(-1 << PLACE_BITS).cast("long")
 
-
-def _grams(length: int, last: Column) -> Column:
-    """Coded hashes of all runs of so many words that start up to a place (from 1)."""
     def gram(i):
-        return _coded(F.xxhash64(F.lit(length), *(F.element_at("words", i + j) for j in range(length))), i)
+        value = F.xxhash64(F.lit(length), *(F.get(hashes, i + j) for j in range(length)))
+        return value.bitwiseAND(high).bitwiseOR(i.cast("long"))
+
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), gram)).otherwise(F.array().cast("array<bigint>"))
+
 
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), gram)).otherwise(F.array().cast("array<bigint>"))
+def _window_min(values: Column, width: int) -> Column:
+    """For each place, the least of the values from there on, width of them at most; in as many passes as width has bits."""
+    def shifted(by):
+        return lambda v: F.transform(v, lambda x, i: F.least(x, F.get(v, i + by)))
+
+    def widened(v, step):
+        if step == width:
+            return v
+        by = min(step, width - step)
+        return let(shifted(by)(v), lambda w: widened(w, step + by))
+
+    return widened(values, 1)
 
 
 def _fingerprints(blocks: DataFrame, lengths: list[int]) -> DataFrame:
@@ -61,14 +82,16 @@ def _fingerprints(blocks: DataFrame, lengths: list[int]) -> DataFrame:
     size = F.size("words")
     last = F.least(F.lit(BLOCK), size - (SPAN - 1))
 
-    def winnowed(grams):
-        least = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_min(F.slice(grams, i, SPAN - GRAM + 1)))
-        return F.when(last >= 1, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+    def coded(hashes):
+        least = let(_grams(hashes, GRAM, size - (GRAM - 1)), lambda g: F.slice(_window_min(g, SPAN - GRAM + 1), F.lit(1), F.greatest(last, F.lit(1))))
+        codes = [F.when(last >= 1, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))]
+        return F.flatten(F.array(*codes, *(_grams(hashes, m, F.least(F.lit(BLOCK), size - (m - 1))) for m in lengths)))
+
+    return blocks.withColumn("codes", let(_hashes(F.col("words")), coded))
 
-    codes = let(_grams(GRAM, size - (GRAM - 1)), winnowed)
-    for m in lengths:
-        codes = F.concat(codes, _grams(m, F.least(F.lit(BLOCK), size - (m - 1))))
-    return blocks.withColumn("codes", codes)
+
+def _hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
 def _run(pairs: list[tuple[Column, Column]]) -> Column:
@@ -81,14 +104,14 @@ def _run(pairs: list[tuple[Column, Column]]) -> Column:
 def item_fingerprints(items: DataFrame) -> tuple[DataFrame, list[int]]:
     """Fingerprints of the items with the words around them, and the lengths of the short items."""
     items = items.select("item_id", "text")
-    short = items.select(F.size(words(F.col("text"))).alias("n")).filter(f"n > 0 and n < {SPAN}").distinct()
+    short = items.select(word_count(F.col("text")).alias("n")).filter(f"n > 0 and n < {SPAN}").distinct()
     lengths = sorted(r[0] for r in short.collect())  # SPAN - 1 values at most
-    blocks = _blocks(items, ["item_id"]).cache()
+    blocks = cut(_blocks(items, ["item_id"]))
     long = _fingerprints(blocks.filter(F.size("words") >= SPAN), []).select("item_id", "words", F.explode_outer("codes").alias("code"), F.lit(SPAN).alias("need"))
     found = long
     for m in lengths:
         own = blocks.filter((F.size("words") == m) & (F.col("at") == 0))
-        found = found.unionByName(own.withColumn("code", F.element_at(_grams(m, F.lit(1)), 1)).select("item_id", "words", "code", F.lit(m).alias("need")))
+        found = found.unionByName(own.withColumn("code", let(_hashes(F.col("words")), lambda h: F.element_at(_grams(h, m, F.lit(1)), 1))).select("item_id", "words", "code", F.lit(m).alias("need")))
     place = F.col("code").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
     back = SPAN - GRAM
     left = F.array(*(F.get("words", place - j) for j in range(1, back + 1)))
@@ -135,7 +158,7 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROAD
     found = cut(hits(docs, items, keys, broadcast_rows).distinct())
     hit = found.select(*keys, F.explode(F.sequence("start", F.col("end") - 1)).alias("w")).distinct().groupBy(*keys).agg(F.count("*").alias("n_hit"))
     listed = found.select(*keys, F.col("item_id").cast("string").alias("i")).distinct().groupBy(*keys).agg(F.count("i").alias("n_items"), F.array_join(F.array_sort(F.collect_list("i")), ",").alias("items"))
-    out = docs.select(*keys, F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    out = docs.select(*keys, word_count(F.col("text")).cast("long").alias("n_words"))
     for name, part in (("h", hit), ("i", listed)):
         same = F.col("d.doc_id").eqNullSafe(F.col(f"{name}.doc_id")) & (F.col("d._text_key") == F.col(f"{name}._text_key"))
         out = out.alias("d").join(part.alias(name), same, "left").select("d.*", *(f"{name}.{c}" for c in part.columns if c not in keys))
@@ -148,7 +171,11 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROAD
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; all columns stay, and rows that repeat stay as often as before."""
+    """docs without the contaminated ones; all columns stay, and rows that repeat stay as often as before.
+
+    Null and empty texts have no words and stay; rows that share a doc_id are
+    judged each by its own text.  Without items all stay.
+    """
     bad = contamination(docs, items).filter("contaminated").select("doc_id", "_text_key").distinct()
     same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(F.col("d.text")) == F.col("b._text_key"))
     return docs.alias("d").join(bad.alias("b"), same, "left_anti")
