@@ -1,4 +1,4 @@
-"""A run-length index over short byte strings: suffix order, runs of its Burrows-Wheeler transform, samples at run heads."""
+"""A run-length index over short byte strings: of their Burrows-Wheeler transform only samples at the heads of its runs are kept."""
 
 from __future__ import annotations
 
@@ -13,14 +13,19 @@ MOST = 1 << 20
 class RunIndex:
     """Strings end to end, each closed by an end sign that is less than all bytes (earlier strings' signs are less than later ones').
 
-    order      places in suffix order
-    heads      rows at which a run of the transform begins
-    sampled    at each head, the length that its suffix shares with the one in the row before
+    The suffixes' order is needed to find the transform's runs, and then let go.
+    For each run the index keeps, in the order of the text:
 
-    The suffix at place i + 1 shares one symbol less with its predecessor than
-    that at i if row and predecessor have the same symbol before them, that is
-    inside a run.  So the lengths at the heads give all others when they are
-    streamed in text order, and in a repetitive text there are few heads.
+    places   where the suffix at the run's head starts
+    above    where the suffix in the row before it starts
+    common   how many symbols the two share
+
+    Inside a run, a suffix and the one in the row before it have the same symbol
+    before them, so the suffixes that are one symbol longer lie in neighbouring
+    rows, too, and share one symbol more.  Read the other way, each place takes
+    its neighbour from the last sampled place before it, shifted by the distance,
+    and shares as many symbols less.  So a pass over the text streams every
+    place's matching statistics from the samples, and a repetitive text has few.
     """
 
     def __init__(self, data: np.ndarray, starts: np.ndarray):
@@ -36,28 +41,36 @@ class RunIndex:
         inside = np.ones(n, bool)
         inside[ends] = False
         text[inside] = data.astype(np.int64) + 1
-        self.text, self.n = text, n
-        #: Symbols from each place to the end sign, without it.
-        self.left = np.repeat(ends, lengths + 1) - np.arange(n)
-        self.string = np.repeat(np.arange(count), lengths + 1)
-        self._sort(int(lengths.max(initial=0)) + 1)
-        before = np.where(self.order == 0, 0, text[self.order - 1])
+        self.n, self.lengths = n, lengths
+        left = self.left()
+        self._text, self._left = text, left
+        order = self._sorted(int(lengths.max(initial=0)) + 1)
+        before = np.where(order == 0, 0, text[order - 1])
         # The signs before a string's first symbol differ from one another, so each begins a run.
         head = np.ones(n, bool)
         head[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
-        self.heads = np.flatnonzero(head)
-        self.sampled = self._common(self.order[self.heads - 1], self.order[self.heads])
+        rows = np.flatnonzero(head)
+        places, above = order[rows], order[rows - 1]
+        common = self._common(above, places)
         if n:
-            self.sampled[0] = 0
+            common[0] = 0
+        by_place = np.argsort(places)
+        self.places, self.above, self.common = places[by_place], above[by_place], common[by_place]
+        del self._text, self._left
+
+    def left(self) -> np.ndarray:
+        """Symbols from each place to the end sign, without it."""
+        return np.repeat(self.starts + self.lengths, self.lengths + 1) - np.arange(self.n)
 
-    def _sort(self, longest: int) -> None:
+    def _sorted(self, longest: int) -> np.ndarray:
+        """Places in suffix order, by doubling the length that is sorted."""
         n = self.n
         place = np.arange(n, dtype=U64)
         key = np.zeros(n, np.int64)
         for j in range(4):
             part = np.zeros(n, np.int64)
-            part[: n - j] = self.text[j:]
-            key = (key << 9) | np.where(self.left >= j, part, 0)
+            part[: n - j] = self._text[j:]
+            key = (key << 9) | np.where(self._left >= j, part, 0)
         depth, rank = 4, None
         while True:
             packed = np.sort((key.astype(U64) << U64(20)) | place)
@@ -66,22 +79,21 @@ class RunIndex:
             new = np.ones(n, bool)
             new[1:] = high[1:] != high[:-1]
             if depth >= longest or new.all():
-                self.order = order
-                return
+                return order
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new) - 1
             then = np.zeros(n, np.int64)
             then[: n - depth] = rank[depth:] + 1
             # Ranks and places stay below 2 ** 20 each, with room for 0 as "nothing follows".
-            key = (rank << 21) | np.where(self.left >= depth, then, 0)
+            key = (rank << 21) | np.where(self._left >= depth, then, 0)
             depth *= 2
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Symbols that the suffixes at places a and b share; end signs differ."""
-        most = np.minimum(self.left[a], self.left[b])
+        most = np.minimum(self._left[a], self._left[b])
         out = np.zeros(len(a), np.int64)
         open_ = np.flatnonzero(most > 0)
-        text = self.text
+        text = self._text
         while len(open_):
             at = out[open_]
             same = text[a[open_] + at] == text[b[open_] + at]
@@ -90,37 +102,32 @@ class RunIndex:
             open_ = open_[out[open_] < most[open_]]
         return out
 
-    def shared(self) -> np.ndarray:
-        """For each row, the symbols its suffix shares with the row before it, streamed from the samples."""
-        n = self.n
-        known = np.full(n, -1, np.int64)
-        known[self.order[self.heads]] = self.sampled
-        # Counted from the text's start, a length that falls by one a place stays the same sum.
-        level = np.where(known >= 0, known + np.arange(n), -1)
-        last = np.maximum.accumulate(np.where(known >= 0, np.arange(n), -1))
-        by_place = level[last] - np.arange(n)
-        return by_place[self.order]
-
-    def statistics(self) -> np.ndarray:
-        """Matching statistics: for each place, the longest start of its suffix that is found elsewhere too."""
-        shared = self.shared()
-        both = np.maximum(shared, np.append(shared[1:], 0))
-        out = np.empty(self.n, np.int64)
-        out[self.order] = both
-        return out
+    def statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """Streamed in text order: the symbols that each place's suffix shares with the one in the row before it, and where that one starts."""
+        run = np.repeat(np.arange(len(self.places)), np.diff(np.append(self.places, self.n)))
+        ahead = np.arange(self.n) - self.places[run]
+        return self.common[run] - ahead, self.above[run] + ahead
 
     def least_owner(self, owner: np.ndarray, width: int) -> np.ndarray:
         """For each place with width symbols left, the least owner of a string that holds the same symbols; -1 elsewhere.
 
-        Only places whose matching statistics reach width are looked at; all others are alone.
+        Places whose statistics reach width have an equal window in the row before;
+        following it, all places of one window come to the first row that has it.
         """
-        own = owner[self.string]
-        out = np.where(self.left >= width, own, -1)
-        shared = self.shared()
-        begin = np.flatnonzero(shared < width)
-        if self.n:
-            least = np.minimum.reduceat(own[self.order], begin)
-            group = np.cumsum(shared < width) - 1
-            long = self.left[self.order] >= width
-            out[self.order[long]] = least[group[long]]
+        shared, above = self.statistics()
+        long = np.flatnonzero(self.left() >= width)
+        own = np.repeat(owner, self.lengths + 1)
+        first = np.arange(self.n)
+        repeated = np.flatnonzero(shared >= width)
+        first[repeated] = above[repeated]
+        while len(repeated):
+            further = first[first[repeated]]
+            moved = further != first[repeated]
+            first[repeated] = further
+            repeated = repeated[moved]
+        least = own.copy()
+        again = long[first[long] != long]
+        np.minimum.at(least, first[again], own[again])
+        out = np.full(self.n, -1, np.int64)
+        out[long] = least[first[long]]
         return out

@@ -383,3 +383,17 @@ def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents, each without the bytes that earlier ones hold."""
     return deduplicate(table(spark, sf_dir, "documents"), with_text=False)
+
+
+SQL = r"""
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, doc_id, p, b[p + 1:p + 50] AS s FROM (SELECT r, doc_id, b, unnest(range(octet_length(b) - 49)) AS p FROM h WHERE octet_length(b) >= 50)),
+bad AS (SELECT r, p FROM w JOIN (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s) USING (s) WHERE doc_id > first_id),
+apart AS (SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > 50, true)::INT AS new FROM bad),
+spans AS (SELECT r, min(p) AS lo, max(p) + 50 AS hi FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g FROM apart) GROUP BY r, g),
+ahead AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS after FROM spans),
+found AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(hex(b[after + 1:lo]), '' ORDER BY lo) AS kept FROM ahead JOIN h USING (r) GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || hex(b[coalesce(last, 0) + 1:]))) AS kept_sha256
+FROM h LEFT JOIN found USING (r)
+"""
