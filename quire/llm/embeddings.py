@@ -10,9 +10,9 @@ distance to every coded vector.  Each code's own error is kept, so by the triang
 inequality the approximation rules out no pair within the wanted distance; what it
 leaves is compared exactly, in double precision.  So no link is missed.
 
-A vector is sent once to each group of near lists, however many of them it probes.
-
-Equal vectors are one class and enter once.
+A vector is sent once to each group of near lists, however many of them it
+probes.  Equal vectors are one class and enter once.  Each length of vectors has
+lists of its own; rare lengths have a single one, in which all are compared.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from quire.llm.components import components
 THRESHOLD = 0.95
 #: Vectors that train centroids and codebooks, at most; vectors to a list on average; lists, at most.
 SAMPLE, LIST_SIZE, MOST_LISTS = 20_000, 256, 4096
+#: Lengths of vectors that have a trained index, at most: the most frequent ones.
+TRAINED = 8
 SUBSPACES, CODES, STEPS = 8, 256, 8
 #: Lists to a group, which is searched together.
 GROUP = 32
@@ -75,6 +78,11 @@ class Index:
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [k_means(left[:, c], min(CODES, len(left)), rng) for c in self.cuts]
 
+    @classmethod
+    def of_one_list(cls, size: int) -> Index:
+        """An index of vectors of so many components that holds them all in one list and rules out none."""
+        return cls(np.zeros((1, size)), 1)
+
     def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray]]:
         """Each vector's own list and all lists it probes, the own one among them.
 
@@ -105,26 +113,29 @@ class Index:
         return np.sqrt(np.maximum(total, 0)) <= radius + error.astype(np.float32) + 1e-3
 
 
-def _unit(batch: pa.RecordBatch) -> np.ndarray:
-    x = np.array(batch.column("v").to_pylist(), np.float64)
+def _unit(v: pa.Array) -> np.ndarray:
+    x = np.array(v.to_pylist(), np.float64)
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
 def _dealing(sent, radius: float, kind: pa.DataType):
-    """Each class with its list, code, error and probes."""
+    """Each class with its list, code, error and probes. Lists of one length are numbered after those of another."""
     schema = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("v", pa.list_(kind)), ("own", pa.int32()), ("probes", pa.list_(pa.int32())), ("code", pa.binary()), ("error", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = sent.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                x = _unit(batch)
-                own, probes = index.probes(x, radius)
-                codes, error = index.encode(x, own)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("class"), batch.column("size"), batch.column("v").cast(pa.list_(kind)), pa.array(own.astype(np.int32)), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], schema=schema
-                )
+            lengths = pc.list_value_length(whole.column("v")).to_numpy(zero_copy_only=False)
+            for length in np.unique(lengths):
+                first, index = sent.value[int(length)]
+                rows = np.flatnonzero(lengths == length)
+                for lo in range(0, len(rows), 1024):
+                    batch = whole.take(pa.array(rows[lo : lo + 1024]))
+                    x = _unit(batch.column("v"))
+                    own, probes = index.probes(x, radius)
+                    codes, error = index.encode(x, own)
+                    lists = pa.array([(p + first).astype(np.int32) for p in probes], pa.list_(pa.int32()))
+                    columns = [batch.column("class"), batch.column("size"), batch.column("v").cast(pa.list_(kind)), pa.array((own + first).astype(np.int32)), lists, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
@@ -147,9 +158,10 @@ def _compare(sent, threshold: float):
     radius = _radius(threshold)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        index: Index = sent.value
+        # All vectors of a group of lists have one length.
+        numbered, index = sent.value[len(pdf["v"].iloc[0])]
         member = pdf["as_member"].to_numpy()
-        size, own = (pdf[c].to_numpy() for c in ("size", "own"))
+        size, own = pdf["size"].to_numpy(), pdf["own"].to_numpy() - numbered
         classes, node = np.unique(pdf["class"].to_numpy(), return_inverse=True)
         links, root = np.zeros(len(classes), np.int64), np.arange(len(classes))
         queries = np.flatnonzero(~member)
@@ -157,7 +169,7 @@ def _compare(sent, threshold: float):
             raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
             norm = np.sqrt((raw**2).sum(1))
             at = np.repeat(queries, [len(p) for p in pdf["probes"].iloc[queries]])
-            probed = np.concatenate(pdf["probes"].iloc[queries].to_numpy())
+            probed = np.concatenate(pdf["probes"].iloc[queries].to_numpy()) - numbered
             for which in np.unique(own[member]):
                 q, m = at[probed == which], np.flatnonzero(member & (own == which))
                 if not len(q):
@@ -166,7 +178,7 @@ def _compare(sent, threshold: float):
                 # A member that doesn't probe the query's list can count the pair only here.
                 back = np.zeros((len(m), len(index.centroids)), bool)
                 for k, p in enumerate(pdf["probes"].iloc[m]):
-                    back[k, p] = True
+                    back[k, p - numbered] = True
                 for lo in range(0, len(q), 256):
                     part = q[lo : lo + 256]
                     a, b = np.nonzero(index.near(raw[part] / norm[part, None], which, codes, error, radius))
@@ -190,36 +202,44 @@ def _radius(threshold: float) -> float:
     return math.sqrt(max(2 - 2 * threshold, 0.0))
 
 
+def _indexes(classes: DataFrame) -> dict[int, tuple[int, Index]]:
+    """For each length of vectors, the number of its first list and its index."""
+    # A row per length; a table of embeddings has few.
+    lengths = classes.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").collect()
+    many = [r["length"] for r in lengths if r["count"] >= 2 * LIST_SIZE][:TRAINED]
+    out, first = {}, 0
+    for r in lengths:
+        index = Index.of_one_list(r["length"])
+        if r["length"] in many:
+            own = classes.filter(F.size("v") == r["length"])
+            x = np.array(own.orderBy(F.xxhash64("class")).limit(SAMPLE // len(many)).select("v").toArrow().column("v").to_pylist(), np.float64)
+            index = Index(x / np.sqrt((x**2).sum(1))[:, None], min(MOST_LISTS, r["count"] // LIST_SIZE))
+        out[r["length"]] = (first, index)
+        # Groups of lists hold one length each.
+        first += math.ceil(len(index.centroids) / GROUP) * GROUP
+    return out
+
+
 def join(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     n_links counts the other vectors of cosine threshold or more, component_id is
     the least vec_id reachable by links, and kept marks that vector.  Vectors that
     are null, empty or zero, or hold null or non-finite components, are linked
-    with nothing, and so are those whose length isn't the most frequent one (of
-    several, the least).  Rows that repeat are vectors linked with each other; a
-    null vec_id counts as the largest.  Other columns are ignored; an empty table
-    gives no rows.
+    with nothing.  Vectors of different length have no cosine and aren't linked.
+    Rows that repeat are vectors linked with each other; a null vec_id counts as
+    the largest.  Other columns are ignored; an empty table gives no rows.
     """
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     rows = vectors.select(F.coalesce("vec_id", F.lit(LAST_ID)).cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("dim", F.when(fine, F.size("v")))
-    dims = rows.filter("dim is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = dims[0]["dim"] if dims else 0
-    rows = cut(rows.select("vec_id", F.when(F.col("dim") == dim, F.col("v")).alias("v")))
+    rows = cut(rows.select("vec_id", F.when(fine, F.col("v")).alias("v")))
     classes = rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("size"))
     # Rows of one class may share the least id with another class's, so a class is named by its vector.
     classes = cut(classes.select(F.xxhash64("v").alias("class"), "*"))
-    count = classes.count()
     lone = rows.select("vec_id", F.xxhash64("v").alias("_class"), "v")
-    if not count:
-        return rows.select(F.nullif("vec_id", F.lit(LAST_ID)).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.nullif("vec_id", F.lit(LAST_ID)).alias("component_id"), F.lit(True).alias("kept"))
-    lists = max(1, min(MOST_LISTS, count // LIST_SIZE))
+    sent = classes.sparkSession.sparkContext.broadcast(_indexes(classes))
     packed = classes.select("class", "size", "v")
-    sample = packed.orderBy(F.xxhash64("class")).limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
-    x = np.array(sample, np.float64)
-    sent = classes.sparkSession.sparkContext.broadcast(Index(x / np.sqrt((x**2).sum(1))[:, None], lists))
     deal = _dealing(sent, _radius(threshold), pa.float32() if kind == "float" else pa.float64())
     dealt = cut(packed.mapInArrow(deal, f"class long, size long, v array<{kind}>, own int, probes array<int>, code binary, error double"))
     group_of = lambda p: F.floor(p / GROUP).cast("int")
@@ -250,3 +270,15 @@ def join(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op7_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """All embeddings: vec_id, n_links, component_id, kept."""
     return join(table(spark, sf_dir, "embeddings"))
+
+
+SQL = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (SELECT r, vec_id, x FROM v WHERE len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+link AS (SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM ok a, ok b WHERE a.r <> b.r AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+reach AS (SELECT r AS a, r AS b FROM ok UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM v LEFT JOIN n ON n.a = v.r LEFT JOIN least ON least.a = v.r
+"""

@@ -337,6 +337,7 @@ def test_embeddings(spark, monkeypatch):
     centre = rng.normal(size=(12, 16))
     x = (centre[rng.integers(0, 12, 600)] + 0.12 * rng.normal(size=(600, 16))).astype(np.float32)
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    rows += [(608, [0.6, 0.8]), (609, [0.6, 0.8]), (610, [0.8, -0.6])]
     rows += [(600, rows[0][1]), (600, rows[0][1]), (601, None), (602, [0.0] * 16), (603, [float("nan")] * 16), (604, [None] * 16), (605, [1.0, 2.0]), (606, []), (607, [float("inf")] * 16), (None, rows[1][1])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, class string")
     got = embeddings.join(df).collect()
@@ -350,7 +351,10 @@ def test_embeddings(spark, monkeypatch):
     for _ in range(50):
         least = np.minimum(least, np.where(linked, least[None, :], embeddings.LAST_ID).min(1))
     back = lambda i: embeddings.LAST_ID if i is None else i
-    want = {k: (0, k) for k in (601, 602, 603, 604, 605, 606, 607)}
+    # Vectors of two components: 605, 608 and 609 are near one another.
+    want = {k: (0, k) for k in (601, 602, 603, 604, 606, 607, 610)}
+    assert np.dot([1, 2], [0.6, 0.8]) / math.sqrt(5) >= 0.95
+    want |= {k: (2, 605) for k in (605, 608, 609)}
     found = sorted((back(r.vec_id), r.n_links, back(r.component_id)) for r in got)
     exact = sorted([(int(k), int(n), int(c)) for k, n, c in zip(key, linked.sum(1), least)] + [(k, *v) for k, v in want.items()])
     assert sum(f[1] for f in found) >= 0.9 * sum(e[1] for e in exact) and all(f[1] <= e[1] for f, e in zip(found, exact))
