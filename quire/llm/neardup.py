@@ -1,11 +1,14 @@
 """Operator 5: n-gram Jaccard join with a forest of MinHash tries.
 
 A document is the set of its SHINGLE-word shingles.  Each tree of the forest has
-a path of minima under random hashes, and documents with a common path prefix
-meet in it.  The prefix that must agree starts at the whole path and is
+a path of DEPTH minima under random hashes, and documents with a common path
+prefix meet in it.  The prefix that must agree starts at the whole path and is
 shortened until two documents at the threshold meet in some tree with at least
-the target probability.  Every meeting is verified by the exact sets, in the
-first tree in which the two meet, so each pair is counted once.
+the target probability (4 of 8 at 0.8 and 0.999).  A document's neighbours aren't known before
+they are verified, so the prefix is as long for all documents; shortening it by
+what a document has met would favour trees that its neighbours aren't in.
+Every meeting is verified by the exact sets, in the first tree in which the two
+meet, so each pair is counted once.
 
 Documents with the same shingles, each as often, are one class and enter once.
 Large prefix groups are dealt into chunks, and each pair of chunks is a task of
@@ -27,7 +30,7 @@ from quire.llm.common import cut, table, whole_row
 from quire.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 16, 4, 0.999
+TREES, DEPTH, RECALL = 16, 8, 0.999
 #: Members of a prefix group that are dealt into one chunk, on average.
 CHUNK = 1000
 #: Columns of the incidence matrix that are multiplied at once.
@@ -74,15 +77,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has = np.flatnonzero(count)
         start = np.searchsorted(text, has)
         one, two = np.zeros(len(count), U64), np.zeros(len(count), U64)
-        paths = np.zeros((len(count), TREES, DEPTH), ">u4")
+        paths = np.zeros((len(count), TREES, DEPTH), ">u2")
         if len(has):
             one[has] = np.add.reduceat(mixed(x + U64(0x2545F4914F6CDD1D)), start)
             two[has] = np.add.reduceat(mixed(x ^ U64(0x9FB21C651E98DF25)), start)
             for t in range(TREES):
                 for d in range(DEPTH):
-                    paths[has, t, d] = np.minimum.reduceat(x * _FACTORS[t, d] + _SHIFTS[t, d], start) >> U64(32)
+                    paths[has, t, d] = np.minimum.reduceat(x * _FACTORS[t, d] + _SHIFTS[t, d], start) >> U64(48)
         flat = np.ascontiguousarray(paths).tobytes()
-        width = TREES * DEPTH * 4
+        width = TREES * DEPTH * 2
         blobs = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(np.arange(0, len(flat) + 1, width, dtype=np.int32).tobytes()), pa.py_buffer(flat)])
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(count.astype(np.int64)), blobs], names=["doc_id", "text_key", "class", "class2", "n", "paths"])
 
@@ -219,7 +222,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     docs = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), text.alias("bytes")).withColumn("text_key", F.xxhash64("bytes"))
     signed = cut(docs.mapInArrow(_signatures, "doc_id long, text_key long, class long, class2 long, n long, paths binary"))
     classes = signed.filter("n > 0").groupBy("class", "class2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"), F.first("paths").alias("paths"))
-    prefixes = [F.xxhash64(F.lit(t), F.substring("paths", t * DEPTH * 4 + 1, depth * 4)) for t in range(TREES)]
+    prefixes = [F.xxhash64(F.lit(t), F.substring("paths", t * DEPTH * 2 + 1, depth * 2)) for t in range(TREES)]
     classes = cut(classes.withColumn("prefixes", F.array(*prefixes)).drop("paths"))
     placed = classes.select("class", F.posexplode("prefixes").alias("tree", "key"))
     groups = placed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
@@ -263,3 +266,21 @@ def remove_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """All documents: doc_id, class_id, n_links, component_id, kept."""
     return join(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+every AS (SELECT r, array_to_string(list_slice(w, k, k + 4), ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+s AS (SELECT DISTINCT r, g FROM every),
+size AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+both_ AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.r < b.r GROUP BY 1, 2),
+pair AS (SELECT a, b FROM both_ JOIN size x ON x.r = a JOIN size y ON y.r = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY a),
+same AS (SELECT r, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM every GROUP BY r),
+class AS (SELECT r, min(doc_id) OVER (PARTITION BY k) AS class_id FROM same JOIN d USING (r)),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = doc_id AS kept
+FROM d LEFT JOIN n ON n.a = d.r LEFT JOIN class USING (r) JOIN least ON least.a = d.r
+"""
