@@ -99,8 +99,10 @@ OTHERS = (
     "The library is free to enter.", "The source of the river was found.", "No part of the city was spared.",
 )
 WORD = r"[a-z0-9]+"
-#: Corpus lines in training at most; a pair that is in a larger share of them is no feature.
-SAMPLE_DOCS, SAMPLE_LINES, FREQUENT = 200, 2000, 0.005
+#: Corpus lines in training, at most, and characters of such a line, at most; a pair that is in a larger share of them is no feature.
+SAMPLE_LINES, SAMPLE_CHARS, FREQUENT = 2000, 2000, 0.005
+#: Lines with these words aren't taken for unknown ones.
+SPEAKS = r"(?i)licen[sc]|copyright|gpl|spdx|creative commons|all rights|permission"
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.6
 STEPS, RATE, L2 = 300, 1.0, 1e-3
 
@@ -224,10 +226,15 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
 
 
 def sample_lines(docs: DataFrame) -> list[str]:
-    """A bounded sample of the corpus's lines for the unknown class, without those that speak of licences."""
-    few = docs.select("doc_id", F.substring("text", 1, 20_000).alias("text")).orderBy(F.md5(F.col("doc_id").cast("string")), "text").limit(SAMPLE_DOCS)
-    lines = [x for r in few.collect() for x in (r["text"] or "").split("\n")[:20]]
-    return [x for x in lines if x and not re.search(r"(?i)licen[sc]|copyright|gpl|spdx|creative commons|all rights|permission", x)][:SAMPLE_LINES]
+    """Different lines of the corpus for the unknown class, the first by their hash, without long ones and those that speak of licences."""
+    lines = docs.select(F.explode(F.split("text", r"\n")).alias("line")).filter(F.length("line").between(1, SAMPLE_CHARS) & ~F.col("line").rlike(SPEAKS))
+    hashed = F.xxhash64("line")
+    # Only hashes are ordered and sent, then the lines up to the last one.
+    first = lines.select(hashed.alias("h")).distinct().orderBy("h").limit(SAMPLE_LINES).collect()
+    if not first:
+        return []
+    found = lines.filter(hashed <= F.lit(first[-1]["h"])).distinct().orderBy(hashed, "line").limit(SAMPLE_LINES).collect()
+    return [r["line"] for r in found]
 
 
 def op9_licences(spark, sf_dir: str) -> DataFrame:
