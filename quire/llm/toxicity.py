@@ -152,14 +152,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on a bounded sample of the labelled documents, the first by the digest of doc_id.
 
     docs has doc_id and text, labels doc_id and toxic.  Labels other than 0 and 1
-    are left out; of several for one document the largest holds.
+    are left out; of several for one document the largest holds, and of several
+    texts of one doc_id the least.  Null texts aren't learned from.  Without labels of
+    both kinds the model has no features and scores all texts alike.
     """
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.md5(F.col("doc_id").cast("string"))
-    sample = known.filter("toxic = 1").orderBy(order).limit(SAMPLE_TOXIC).unionByName(known.filter("toxic = 0").orderBy(order).limit(SAMPLE_OTHER))
-    # At most SAMPLE_TOXIC + SAMPLE_OTHER rows of two numbers.
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("bytes")).filter(F.length("bytes") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "bytes", "toxic").toArrow().sort_by("doc_id")
+    there = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    sample = there.filter("toxic = 1").orderBy(order).limit(SAMPLE_TOXIC).unionByName(there.filter("toxic = 0").orderBy(order).limit(SAMPLE_OTHER))
+    # At most SAMPLE_TOXIC + SAMPLE_OTHER rows of two numbers.
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("bytes").alias("bytes"), F.first("toxic").alias("toxic")).toArrow().sort_by("doc_id")
     return fit([bytes(b) for b in rows.column("bytes").to_pylist()], rows.column("toxic").to_numpy().astype(np.int64))
 
 
@@ -208,7 +211,11 @@ def _learned_from(df: DataFrame) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score 0.5 or more; the model learns from labelled docs. All columns stay."""
+    """docs without those that score 0.5 or more; the model learns from labelled docs. All columns stay.
+
+    Null and empty texts score as calm ones do.  Each row is judged by its own
+    text, so repeated rows stay or go together; an empty table stays empty.
+    """
     model = train(_learned_from(docs.select("doc_id", "text")), labels.select("doc_id", "toxic"))
     scored = score(docs.select(whole_row(docs).alias("row"), "text"), model, ["row"], located=False)
     return scored.filter("score < 0.5").select("row.*")
