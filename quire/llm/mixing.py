@@ -96,9 +96,11 @@ def mix(
     is a source of its own and comes last.  Null and empty texts have size 0 and
     are taken with 0 words.  Repeated rows are documents of their own.  Where
     two rows tie in doc_id, the smaller one queues first.  An empty table gives
-    no rows.  The order hash depends on doc_id alone, so reruns agree.
+    no rows.  The order hash depends on doc_id and text alone, so reruns agree,
+    and rows that share a doc_id are dealt to different ranges.
     """
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    named = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    key = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
     extra = [c for c in keep if c not in RESULT]
     carried = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in extra))
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), carried.alias("_row")))
@@ -141,7 +143,7 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS k
   FROM documents),
 totals AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
