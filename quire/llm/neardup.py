@@ -254,7 +254,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 
 
 def remove_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each component, that with the least doc_id; of rows that repeat it, one. All columns stay."""
+    """docs with one document of each component, that with the least doc_id; of rows that repeat it, one. All columns stay.
+
+    A null doc_id counts as the largest.  Null texts and texts without words are
+    linked with nothing and all stay; an empty table stays empty.
+    """
     found = join(docs.select("doc_id", "text"), threshold).filter("kept").groupBy("doc_id", "text_key").agg(F.max("n_links").alias("n_links"))
     key = F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))
     packed = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").alias("_id"), key.alias("_key"))
