@@ -32,13 +32,22 @@ def _normal(form: str):
     return normal
 
 
+#: Finds a text that normal forms may change.
+BEYOND_ASCII = r"[^\x00-\x7f]"
+
+
+def _wide_only(form: str, text: Column) -> Column:
+    # Every row passes through Python, but ASCII texts as nulls.
+    return F.coalesce(_normal(form)(F.when(text.rlike(BEYOND_ASCII), text)), text)
+
+
 def nfc(text: Column) -> Column:
     """Canonical composition; ASCII is left alone."""
-    return F.when(text.rlike(r"^[\x00-\x7f]*$"), text).otherwise(_normal("NFC")(text))
+    return _wide_only("NFC", text)
 
 
 def nfd(text: Column) -> Column:
-    return F.when(text.rlike(r"^[\x00-\x7f]*$"), text).otherwise(_normal("NFD")(text))
+    return _wide_only("NFD", text)
 
 
 @functools.cache
@@ -171,12 +180,17 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
-    """Each distinct word of the pair becomes a private-use character, and those strings are compared; 6,400 words at most."""
-    alphabet = F.lit("".join(chr(0xE000 + k) for k in range(6400)))
+    """Each distinct word of the pair becomes a character of its own, and those strings are compared; a million words at most, beyond is an error."""
     ref, hyp = tokens(reference), tokens(hypothesis)
     known = F.array_distinct(F.concat(ref, hyp))
-    coded = lambda words: F.array_join(F.transform(words, lambda w: F.substring(alphabet, F.array_position(known, w).cast("int"), F.lit(1))), "")
-    return error_rate(F.levenshtein(coded(ref), coded(hyp)), F.size(ref), F.size(hyp))
+
+    def coded(words):
+        # Code points above the first plane, eight hexadecimal digits each.
+        number = lambda w: F.lpad(F.hex(0xFFFF + F.array_position(known, w)), 8, "0")
+        return F.decode(F.unhex(F.array_join(F.transform(words, number), "")), "UTF-32")
+
+    rate = error_rate(F.levenshtein(coded(ref), coded(hyp)), F.size(ref), F.size(hyp))
+    return F.when(F.size(known) > 0xFFFFF, F.raise_error(F.lit("too many different words")).cast("double")).otherwise(rate)
 
 
 def assign_split(page_id: Column, dev: float = 0.1, test: float = 0.1) -> Column:

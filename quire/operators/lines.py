@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from quire.functions import boxes, text
 
 PAGE = ["doc_id", "page_no"]
+#: Height of the bands by which boxes meet.
+BAND = 128
 
 
-def assign_blocks(segments: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each block with the segment that it overlaps most; ties go to the earlier segment, and blocks that overlap none go.
+def _banded(rows: DataFrame) -> DataFrame:
+    """rows once for each horizontal band that their boxes reach into."""
+    last = F.floor((F.col("y") + F.greatest(F.col("h"), F.lit(1)) - 1) / BAND)
+    return rows.withColumn("_band", F.explode(F.sequence(F.floor(F.col("y") / BAND), last)))
+
+
+def _overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs (as a and b) of overlapping boxes on a page; boxes meet by page and band, and a pair counts in its first common band."""
+    pair = _banded(a).alias("a").join(_banded(b).alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*PAGE, "_band")])
+    first = F.greatest(F.floor(F.col("a.y") / BAND), F.floor(F.col("b.y") / BAND))
+    return pair.filter(boxes.overlaps("a", "b") & (F.col("a._band") == first))
 
-    An equi-join on the page with the overlap as residual, so both sides are
-    dealt by page and a page's boxes meet in one task.
-    """
-    pair = blocks.alias("b").join(segments.alias("s"), [F.col(f"b.{k}") == F.col(f"s.{k}") for k in PAGE])
-    pair = pair.filter(boxes.overlaps("b", "s")).withColumn("_area", boxes.overlap_area("b", "s"))
-    key = [F.col(f"b.{k}") for k in (*PAGE, "engine", "variant", "block_idx")]
-    best = Window.partitionBy(*key).orderBy(F.desc("_area"), F.col("s.seg_idx"))
-    return pair.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").select("b.*", "s.seg_idx", "s.seg_id", "s.script", "s.region_type", "s.reading_order", F.col("_area").alias("area"))
+
+def assign_blocks(segments: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each block with the segment that it overlaps most; ties go to the earlier segment, and blocks that overlap none go."""
+    pair = _overlapping(blocks, segments).withColumn("_area", boxes.overlap_area("a", "b"))
+    key = [F.col(f"a.{k}") for k in (*PAGE, "engine", "variant", "block_idx")]
+    best = Window.partitionBy(*key).orderBy(F.desc("_area"), F.col("b.seg_idx"))
+    return pair.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").select("a.*", "b.seg_idx", "b.seg_id", "b.script", "b.region_type", "b.reading_order", F.col("_area").alias("area")).drop("_band")
 
 
 def compose_lines(assigned: DataFrame) -> DataFrame:
@@ -43,8 +53,7 @@ def agreement(candidates: DataFrame, key: list[str]) -> DataFrame:
 def grounded(model_blocks: DataFrame, reference: DataFrame, threshold: float = 0.0) -> DataFrame:
     """model_blocks with their best overlap with a reference block (IoU), and whether it is above the threshold."""
     key = [*PAGE, "block_idx"]
-    pair = model_blocks.alias("m").join(reference.alias("r"), [F.col(f"m.{k}") == F.col(f"r.{k}") for k in PAGE]).filter(boxes.overlaps("m", "r"))
-    best = pair.groupBy(*(F.col(f"m.{k}").alias(k) for k in key)).agg(F.max(boxes.iou("m", "r")).alias("iou"))
+    best = _overlapping(model_blocks, reference).groupBy(*(F.col(f"a.{k}").alias(k) for k in key)).agg(F.max(boxes.iou("a", "b")).alias("iou"))
     joined = model_blocks.join(best, key, "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
     return joined.withColumn("grounded", F.col("iou") > threshold)
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from quire.functions import text
 
 #: Language packs that can read Latin.
-LATIN_PACKS = "eng deu deu_latf fra frm ita ita_old spa spa_old por lat nld dan swe nor fin pol ces ron hun tur".split()
+LATIN_PACKS = (
+    "eng", "deu", "deu_latf", "fra", "frm", "ita", "ita_old", "spa", "spa_old", "por", "lat", "nld", "dan", "swe", "nor", "fin", "pol", "ces", "ron", "hun", "tur",
+)
 MOST_TOKENS = 512
 
 
@@ -44,13 +46,14 @@ def script_aware(candidates: DataFrame, key: list[str]) -> DataFrame:
     """
     over = Window.partitionBy(*key)
     can = F.arrays_overlap(F.split("model_name", r"\+"), F.array(*map(F.lit, LATIN_PACKS)))
-    c = candidates.withColumn("_latin", text.is_latin_dominant(F.col("text"))).withColumn("_both", F.coalesce(can, F.lit(False)) & F.col("_latin")).withColumn("_ascii", text.ascii_letters(F.col("text")))
-    some = (F.sum(F.col("_both").cast("int")).over(over) > 0) & (F.sum(F.col("_both").cast("int")).over(over) < F.count("*").over(over))
-    least, most = F.min("_ascii").over(over), F.max("_ascii").over(over)
-    strayed = (F.max(F.col("_latin").cast("int")).over(over) == 0) & (least < 3) & (most > least)
-    wanted = F.when(some, F.col("_both")).when(strayed, F.col("_ascii") == least).otherwise(True)
-    c = c.withColumn("_wanted", wanted).filter("_wanted").drop("_latin", "_both", "_ascii", "_wanted")
-    return best_by_confidence(c, key)
+    c = candidates.withColumn("_latin", text.is_latin_dominant(F.col("text"))).withColumn("_ascii", text.ascii_letters(F.col("text")))
+    c = c.withColumn("_both", F.coalesce(can, F.lit(False)) & F.col("_latin"))
+    totals = {f"_{k}": F.expr(e).over(over) for k, e in (("nb", "count_if(_both)"), ("n", "count(*)"), ("nl", "count_if(_latin)"), ("least", "min(_ascii)"), ("most", "max(_ascii)"))}
+    c = c.withColumns(totals)
+    some = (F.col("_nb") > 0) & (F.col("_nb") < F.col("_n"))
+    strayed = (F.col("_nl") == 0) & (F.col("_least") < 3) & (F.col("_most") > F.col("_least"))
+    wanted = F.when(some, F.col("_both")).when(strayed, F.col("_ascii") == F.col("_least")).otherwise(True)
+    return best_by_confidence(c.filter(wanted).select(*candidates.columns), key)
 
 
 def vote(readings: DataFrame, key: list[str]) -> DataFrame:
@@ -58,9 +61,12 @@ def vote(readings: DataFrame, key: list[str]) -> DataFrame:
 
     readings has key, pos, voter, ord, text, weight and is_pivot; a voter counts once.
     """
-    once = first_by(readings, [*key, "pos", "voter"], [F.col("ord")])
-    sums = once.groupBy(*key, "pos", "text").agg(F.sum("weight").alias("score"), F.max(F.col("is_pivot").cast("int")).alias("pivot"))
-    return first_by(sums, [*key, "pos"], [F.desc("score"), F.desc("pivot"), F.col("text")]).drop("pivot")
+    # Dealt by position once; the finer groups lie in the same partitions.
+    dealt = readings.repartition(*key, "pos")
+    once = dealt.groupBy(*key, "pos", "voter").agg(F.min(F.struct("ord", "text", "weight", "is_pivot")).alias("r"))
+    sums = once.groupBy(*key, "pos", F.col("r.text").alias("text")).agg(F.sum("r.weight").alias("score"), F.max(F.col("r.is_pivot").cast("int")).alias("pivot"))
+    best = F.min(F.struct((-F.col("score")).alias("less"), (-F.col("pivot")).alias("other"), "text", "score"))
+    return sums.groupBy(*key, "pos").agg(best.alias("b")).select(*key, "pos", "b.text", "b.score")
 
 
 def alignment(pivot: list[str], others: list[tuple[str, list[str]]]) -> list[list[tuple[str, str]]]:

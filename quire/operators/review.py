@@ -87,3 +87,49 @@ def job_state(raw: Column, states: dict[str, str], otherwise: str) -> Column:
     for name, state in states.items():
         out = F.when(raw == name, state).otherwise(out)
     return out
+
+
+def undone(log: DataFrame, steps: int = 1) -> DataFrame:
+    """What the stores hold (store, key, value) after the last writes of a log (session, seq, store, key, value) are taken back, per session.
+
+    A null value removes a key; a write that changes nothing isn't one.
+    """
+    same = [F.col(c) for c in ("session", "store", "key")]
+    before = F.lag("value").over(Window.partitionBy(*same).orderBy("seq"))
+    real = log.withColumn("_before", before).filter(~F.col("value").eqNullSafe(F.col("_before")))
+    # The last steps + 1 numbers of a session; the first of them is the last that stays.
+    last = F.slice(F.reverse(F.array_sort(F.collect_list("seq"))), 1, steps + 1)
+    kept = real.groupBy("session").agg(last.alias("_last")).select("session", F.get("_last", F.lit(steps)).alias("_stays"))
+    rows = real.join(kept, "session").filter(F.col("seq") <= F.col("_stays"))
+    return rows.groupBy(*same).agg(F.max_by("value", "seq").alias("value")).filter("value is not null")
+
+
+def committed(lines: DataFrame, overrides: DataFrame, reviewer: str, at: str, tenant: str = "default") -> DataFrame:
+    """One correction for each reviewed line: what was read, what it is now (accepted overrides before edited ones), its box as JSON, by whom and when."""
+    done = final_text(lines, overrides).filter("touched")
+    box = F.to_json(F.struct("x", "y", "w", "h"))
+    return done.select(
+        "line_id", *PAGE, "script", F.col("text").alias("original_text"), F.col("final_text").alias("corrected_text"), box.alias("bbox"), F.lit(1).alias("accepted"),
+        F.lit(reviewer).alias("reviewer"), F.lit(at).alias("corrected_at"), F.lit(tenant).alias("tenant"),
+    )
+
+
+def training_records(samples: DataFrame) -> DataFrame:
+    """What a trainer reads for each sample (name, text): the image's place, its side text, and the manifest's entry."""
+    image = F.concat(F.lit("images/"), "name")
+    side = F.regexp_replace(image, r"\.[^./]+$", ".gt.txt")
+    return samples.select("name", image.alias("image"), side.alias("side"), F.concat("text", F.lit("\n")).alias("side_text"), F.to_json(F.struct(image.alias("image"), "text")).alias("entry"))
+
+
+def training_outcome(scripts: DataFrame, samples: DataFrame, candidate: DataFrame, parent: DataFrame, least_samples: int = 10, least_improvement: float = 1.0) -> DataFrame:
+    """What a training run comes to: nothing to learn from, refused with the policy's reason, or promoted. One row.
+
+    candidate and parent are reports by script on held-out pages (script, cer,
+    samples).  scripts lists those to train for; samples are the eligible ones.
+    """
+    from quire.operators.evaluate import promotion
+
+    wanted = samples.join(scripts.select("script").distinct(), "script", "left_semi").agg(F.count("*").alias("n_samples"))
+    verdict = promotion(candidate, parent, "test", least_samples, least_improvement)
+    both = wanted.crossJoin(verdict)  # one row each
+    return both.select("n_samples", F.when(F.col("n_samples") == 0, "nothing_to_learn_from").otherwise(F.col("verdict")).alias("outcome"))

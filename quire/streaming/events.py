@@ -1,12 +1,12 @@
-"""Streams of page events, and the engines' circuit breaker."""
+"""Streams of pages and page events."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-BREAKER = "engine string, seq long, t double, outcome string, state string, allowed boolean"
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def page_events(events: DataFrame) -> DataFrame:
@@ -22,33 +22,24 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "total_ms")
 
 
-def circuit_breaker(calls: DataFrame, threshold: int = 3, reset: float = 30.0) -> DataFrame:
-    """Each call (engine, seq, t, outcome ok or error) with the breaker's state before it, and whether it was let through.
-
-    Closed opens after threshold failures in a row; open lets nothing through
-    until reset has passed since the failing call; then one call is let through,
-    and its outcome closes or opens again.
-    """
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, failures, opened, rows = "closed", 0, 0.0, []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            if state == "open" and r.t - opened >= reset:
-                state = "half_open"
-            allowed = state != "open"
-            rows.append((r.engine, r.seq, r.t, r.outcome, state, allowed))
-            if not allowed:
-                continue
-            if r.outcome == "ok":
-                state, failures = "closed", 0
-            else:
-                failures += 1
-                if state == "half_open" or failures >= threshold:
-                    state, opened = "open", r.t
-        return pd.DataFrame(rows, columns=["engine", "seq", "t", "outcome", "state", "allowed"])
-
-    return calls.select("engine", "seq", "t", "outcome").groupBy("engine").applyInPandas(replay, BREAKER)
-
-
-def run_pages(stream: DataFrame, process, sink) -> object:
-    """Starts a run page by page: each micro-batch goes through process (DataFrame to DataFrame), then to sink(batch, number)."""
-    return stream.writeStream.foreachBatch(lambda batch, number: sink(process(batch), number)).trigger(availableNow=True).start()
+def page_stream(spark: SparkSession, folder: str, schema: str, format: str = "parquet", max_files: int = 8) -> DataFrame:
+    """A stream over a folder of pages; at most max_files files are under way in a micro-batch, the bound on work in flight."""
+    return spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", max_files).load(folder)
+
+
+def run_pages(stream: DataFrame, process: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> StreamingQuery:
+    """Starts a run page by page: each micro-batch goes through process, then to sink(batch, number); with a checkpoint, a new run goes on where the last one stopped."""
+    writer = stream.writeStream.foreachBatch(lambda batch, number: sink(process(batch), number)).trigger(availableNow=True)
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
+def processed(stream: DataFrame, process: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """What a whole run over the stream yields, with the micro-batch each row came in; batches are written to the folder once each."""
+    session = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        # A batch that is repeated after a failure replaces its own rows.
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    run_pages(stream, process, write, f"{folder}/checkpoint").awaitTermination()
+    return session.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*")
