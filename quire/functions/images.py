@@ -1,4 +1,4 @@
-"""Image operators (binary to binary) as Arrow UDFs over decoded gray arrays; Pillow is needed only to decode and encode."""
+"""Image operators (binary to binary) as Arrow UDFs over gray arrays; PNG files are read and written with numpy, other formats need Pillow."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.sources import png
+
 
 def otsu_threshold(gray: np.ndarray) -> int:
     """The level that splits the histogram with the largest variance between the parts; the first of several."""
@@ -87,25 +89,78 @@ def deskew(gray: np.ndarray, most: float = 5.0, step: float = 0.1) -> np.ndarray
 PROCESSORS = {"grayscale": lambda g: g, "otsu": otsu, "adaptive_gaussian": adaptive_gaussian, "despeckle": despeckle, "deskew": deskew, "bilevel": lambda g: np.where(g > 128, 255, 0).astype(np.uint8)}
 
 
+def read_gray(content: bytes) -> np.ndarray:
+    """A page image's gray pixels: PNG files and single TIFF frames as they are, other formats through Pillow where it is installed."""
+    if content.startswith(png.PNG):
+        return png.gray(png.decode(content))
+    if content.startswith(png.TIFF):
+        pixels, error = next(png.tiff_frames(content))
+        if error is None:
+            return png.gray(pixels)
+    from PIL import Image
+
+    return np.asarray(Image.open(io.BytesIO(content)).convert("L"))
+
+
+def crop(gray: np.ndarray, left: int, top: int, right: int, bottom: int) -> np.ndarray:
+    """The pixels of a box that is already padded and clamped; an empty one is an error."""
+    if right <= left or bottom <= top:
+        raise ValueError("the box has no pixels")
+    return gray[top:bottom, left:right]
+
+
+def shrink(gray: np.ndarray, most: int = 1400) -> np.ndarray:
+    """The image with its longest edge at most so long, each pixel the mean of those it stands for."""
+    h, w = gray.shape
+    scale = min(1.0, most / max(h, w))
+    rows, columns = max(1, round(h * scale)), max(1, round(w * scale))
+    if (rows, columns) == (h, w):
+        return gray
+    # A running sum over rows and columns gives each cell's total.
+    y, x = np.linspace(0, h, rows + 1).round().astype(int), np.linspace(0, w, columns + 1).round().astype(int)
+    total = np.zeros((h + 1, w + 1))
+    total[1:, 1:] = gray.cumsum(0, dtype=float).cumsum(1)
+    cells = total[y[1:]][:, x[1:]] - total[y[:-1]][:, x[1:]] - total[y[1:]][:, x[:-1]] + total[y[:-1]][:, x[:-1]]
+    return (cells / (np.diff(y)[:, None] * np.diff(x)[None, :]) + 0.5).astype(np.uint8)
+
+
+KIND = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
+
+
+def _many(work, contents: pd.Series, *more: pd.Series) -> pd.DataFrame:
+    out = []
+    for content, *values in zip(contents, *more):
+        try:
+            out.append((png.encode(work(read_gray(content), *values)), None))
+        except Exception as error:  # errors are data: the page is marked and the run goes on
+            out.append((None, f"{type(error).__name__}: {error}"))
+    return pd.DataFrame(out, columns=["content", "error"])
+
+
 def chain(*names: str):
     """A column function binary -> struct(content, error): the named processors one after the other, stopping at the first error."""
-    kind = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
+    def work(gray: np.ndarray) -> np.ndarray:
+        for name in names:
+            gray = PROCESSORS[name](gray)
+        return gray
 
-    @F.pandas_udf(kind)
     def run(contents: pd.Series) -> pd.DataFrame:
-        out = []
-        for content in contents:
-            try:
-                from PIL import Image
-
-                gray = np.asarray(Image.open(io.BytesIO(content)).convert("L"))
-                for name in names:
-                    gray = PROCESSORS[name](gray)
-                buffer = io.BytesIO()
-                Image.fromarray(gray).save(buffer, "PNG")
-                out.append((buffer.getvalue(), None))
-            except Exception as error:  # errors are data: the page is marked and the run goes on
-                out.append((None, f"{type(error).__name__}: {error}"))
-        return pd.DataFrame(out, columns=["content", "error"])
-
-    return run
+        return _many(work, contents)
+
+    return F.pandas_udf(run, KIND)
+
+
+def cropped(content, left, top, right, bottom):
+    """A column struct(content, error): the box's pixels of a page image."""
+    def run(contents: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        return _many(crop, contents, a, b, c, d)
+
+    return F.pandas_udf(run, KIND)(content, left, top, right, bottom)
+
+
+def downscaled(content, most: int = 1400):
+    """A column struct(content, error): the image with its longest edge at most so long."""
+    def run(contents: pd.Series) -> pd.DataFrame:
+        return _many(lambda gray: shrink(gray, most), contents)
+
+    return F.pandas_udf(run, KIND)(content)

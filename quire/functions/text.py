@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import difflib
 import functools
+import itertools
 import unicodedata
 
 import pandas as pd
@@ -205,6 +206,30 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+#: The letters of the keys, and the marks of the signs, in the order in which they are typed.
+KEY_LETTERS = {"a": "α", "e": "ε", "h": "η", "i": "ι", "o": "ο", "u": "υ", "w": "ω", "r": "ρ"}
+KEY_ACCENTS = {"": "", "/": "\u0301", "=": "\u0300", "~": "\u0342"}
+KEY_BREATHINGS = {">": "\u0313", "<": "\u0314"}
+
+
+@functools.cache
+def polytonic_keys() -> dict[str, str]:
+    """Keys to glyphs: a letter, an accent and a breathing that compose to one character; and the apostrophe."""
+    letters = KEY_LETTERS | {k.upper(): v.upper() for k, v in KEY_LETTERS.items()}
+    out = {"'": "\u1fbd"}
+    for (key, letter), (accent, high), (sign, breath) in itertools.product(letters.items(), KEY_ACCENTS.items(), KEY_BREATHINGS.items()):
+        glyph = unicodedata.normalize("NFC", letter + breath + high)
+        if len(glyph) == 1:
+            out[key + accent + sign] = glyph
+    return out
+
+
+def polytonic(keys: Column) -> Column:
+    """The glyph of a sequence of keys, or null."""
+    pairs = itertools.chain.from_iterable(sorted(polytonic_keys().items()))
+    return F.try_element_at(F.create_map(*map(F.lit, pairs)), keys)
+
+
 def confidence_band(confidence: Column) -> Column:
     return F.when(confidence < 40, "very_low").when(confidence < 60, "low").when(confidence < 80, "medium").otherwise("high")
 

@@ -36,6 +36,8 @@ class Ports:
     merge: Step | None = lambda candidates: reconcile.merge_suggestions(candidates, SEGMENT)
     #: Paragraphs, roles and the like, from the document's lines.
     assemble: Step = lambda lines: lines
+    #: Writes a table that is used several times and reads it back; left as it is, each use computes it again.
+    keep: Step = lambda rows: rows
 
 
 @dataclass(frozen=True)
@@ -124,8 +126,8 @@ def process_pages(
     scans = readable.join(own.select(*PAGE).distinct(), PAGE, "left_anti")
     seen = segments.join(scans, PAGE, "left_semi").withColumn("seg_id", F.concat(F.lit("p"), "page_no", F.lit("-"), "seg_id"))
     asked = runs.join(seen.select(*PAGE).distinct(), PAGE, "left_semi")
-    candidates = candidates_of(seen, blocks, asked, routes, default)
-    best = ports.reconcile(reconcile.primary_only(candidates, SEGMENT))
+    candidates = ports.keep(candidates_of(seen, blocks, asked, routes, default))
+    best = ports.keep(ports.reconcile(reconcile.primary_only(candidates, SEGMENT)))
     tiers = line_ops.agreement(candidates, SEGMENT).select(*SEGMENT, "agreement")
     chosen = best.join(tiers, SEGMENT).withColumn("model_hash", F.lit(""))
     shown = [*PAGE, "seg_idx", "line_id", "script", "text", "engine", "model_name", "model_hash", "conf", "agreement", "x", "y", "w", "h"]

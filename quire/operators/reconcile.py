@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,31 +81,41 @@ def alignment(pivot: list[str], others: list[tuple[str, list[str]]]) -> list[lis
     return [sorted(r.items()) for r in out]
 
 
+READINGS = pa.list_(pa.struct([("pos", pa.int32()), ("voter", pa.string()), ("ord", pa.int32()), ("text", pa.string()), ("is_pivot", pa.bool_())]))
+
+
+def _readings(candidates: list[dict]) -> list[dict]:
+    """What the candidates of one line read at each word of the chosen one."""
+    own = next(c for c in candidates if c["is_chosen"])
+    pivot, out = own["text"].split(), []
+    if not 0 < len(pivot) <= MOST_TOKENS:
+        return out
+    out += [{"pos": p, "voter": own["voter"], "ord": 0, "text": w, "is_pivot": True} for p, w in enumerate(pivot)]
+    for number, c in enumerate((c for c in candidates if not c["is_chosen"]), 1):
+        words = c["text"].split()
+        if c["voter"] != own["voter"] and len(words) <= MOST_TOKENS:
+            out += [{"pos": p, "voter": v, "ord": number, "text": w, "is_pivot": False} for p, found in enumerate(alignment(pivot, [(c["voter"], words)])) for v, w in found]
+    return out
+
+
 def align(candidates: DataFrame, key: list[str]) -> DataFrame:
     """Readings (key, pos, voter, ord, text, weight, is_pivot) of lines with is_chosen on the pivot's candidate.
 
     Lines with fewer than two candidates, no words, or more than MOST_TOKENS are left out.
     """
-    kinds = dict(candidates.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", pos int, voter string, ord int, text string, weight double, is_pivot boolean"
     voter = F.concat(F.coalesce("model_name", F.lit("unknown")), F.when(F.coalesce("variant", F.lit("")) != "", F.concat(F.lit("@"), "variant")).otherwise(""))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cand_ord")
-        own = pdf[pdf["is_chosen"]]
-        rows: list[tuple] = []
-        if len(pdf) > 1 and len(own):
-            pivot, name = own["text"].iloc[0].split(), own["voter"].iloc[0]
-            if 0 < len(pivot) <= MOST_TOKENS:
-                head = tuple(pdf[k].iloc[0] for k in key)
-                rows += [(*head, p, name, 0, w, 1.0, True) for p, w in enumerate(pivot)]
-                for number, r in enumerate(pdf[~pdf["is_chosen"]].itertuples(), 1):
-                    words = r.text.split()
-                    if r.voter != name and len(words) <= MOST_TOKENS:
-                        rows += [(*head, p, v, number, w, 1.0, False) for p, found in enumerate(alignment(pivot, [(r.voter, words)])) for v, w in found]
-        return pd.DataFrame(rows, columns=[*key, "pos", "voter", "ord", "text", "weight", "is_pivot"])
-
-    return candidates.withColumn("voter", voter).select(*key, "cand_ord", "voter", "text", "is_chosen").groupBy(*key).applyInPandas(one, schema)
+    # A line's few candidates are one row, so that a batch of rows is many lines.
+    item = F.struct("cand_ord", voter.alias("voter"), "text", "is_chosen")
+    whole = candidates.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_c")).filter((F.size("_c") > 1) & F.exists("_c", lambda c: c["is_chosen"]))
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.select(*key).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = pa.array([_readings(c) for c in batch.column("_c").to_pylist()], READINGS)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), read], names=[*key, "_r"])
+
+    aligned = whole.mapInArrow(run, f"{names}, _r array<struct<pos:int,voter:string,ord:int,text:string,is_pivot:boolean>>")
+    return aligned.select(*key, F.explode("_r").alias("_r")).select(*key, "_r.pos", "_r.voter", "_r.ord", "_r.text", F.lit(1.0).alias("weight"), "_r.is_pivot")
 
 
 def merge_suggestions(candidates: DataFrame, key: list[str]) -> DataFrame:

@@ -41,11 +41,6 @@ def _(spark, d):
     return out.select("doc_id", "line_id", "text", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("w").cast("long").alias("w"))
 
 
-@query("src_06_count_pages", "SELECT source, greatest(1, count(*)) AS pages FROM documents GROUP BY source")
-def _(spark, d):
-    return t.documents(spark, d).groupBy("source").agg(F.greatest(F.lit(1), F.count("*")).alias("pages"))
-
-
 @query("src_07_corpus_pages", "SELECT lang || '-' || doc_id AS page_id, lang AS script, 'corpus:' || CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END || '/' || lang || '-' || doc_id AS provenance FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 5 <> 0")
 def _(spark, d):
     base = t.documents(spark, d).select(F.when(F.col("doc_id") % 10 < 8, "train").otherwise("test").alias("split"), F.concat("lang", F.lit("-"), "doc_id").alias("page_id"), F.when(F.col("doc_id") % 4 == 0, "gif").otherwise("PNG").alias("suffix"), "text", "doc_id")
@@ -57,11 +52,6 @@ def _(spark, d):
     return parsers.corrections_for(t.corrections(spark, d), "p1_-l").select("line_id", "corrected_at", "accepted")
 
 
-@query("src_09_word_list", "SELECT count(DISTINCT w) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> ''")
-def _(spark, d):
-    return t.table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("form")).filter("form != ''").agg(F.countDistinct("form").alias("n"))
-
-
 _DICTIONARY = "di AS (SELECT line_idx AS idx, text || '/AB' AS value FROM ln)"
 
 
@@ -77,12 +67,6 @@ def _(spark, d):
     return parsers.promoted_model(p, "de").select("pos")
 
 
-@query("src_13_fixture_tiers", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'scan' WHEN doc_id % 3 = 1 THEN 'synthetic' ELSE 'unknown' END AS tier, count(*) AS n FROM documents GROUP BY 1")
-def _(spark, d):
-    tiers = spark.createDataFrame([(0, "scan"), (1, "synthetic")], "k long, tier string")
-    return t.documents(spark, d).withColumn("k", F.col("doc_id") % 3).join(F.broadcast(tiers), "k", "left").groupBy(F.coalesce("tier", F.lit("unknown")).alias("tier")).agg(F.count("*").alias("n"))
-
-
 _TSV = "tv AS (SELECT doc_id, line_idx, k, CASE WHEN k % 4 = 3 THEN 4 ELSE 5 END AS level, text, CASE WHEN k % 7 = 6 THEN 'x' ELSE ((doc_id + k) % 120 - 10)::VARCHAR END AS conf, x, y, CASE WHEN k % 5 = 4 THEN 0 ELSE w END AS w FROM (SELECT *, block_idx // 100000 AS line_idx, block_idx % 100000 AS k FROM bl))"
 
 
@@ -241,14 +225,6 @@ def _(spark, d):
     return base.select("line_id", suggest.expand(F.replace("text", F.lit(" the "), F.lit(" th. ")), _SHORT).alias("expanded"))
 
 
-@query("fn_10_ligatures", "SELECT line_id, replace(replace(text, 'th', 'þ'), 'ch', 'χ') AS expanded FROM ln", t.LINES)
-def _(spark, d):
-    out = F.col("text")
-    for a, b in (("th", "þ"), ("ch", "χ")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return t.lines(spark, d).select("line_id", out.alias("expanded"))
-
-
 @query(
     "fn_12_lexicon_flags",
     rf"""SELECT line_id, pos::BIGINT AS pos, token AS source_text, 'not_in_' || script || '_lexicon' AS reason, st::BIGINT AS "start" FROM (
@@ -333,13 +309,6 @@ def _(spark, d):
     return t.documents(spark, d).select("doc_id", text.queue_id(F.col("source"), F.col("doc_id").cast("string")).alias("queue_id"))
 
 
-@query("fn_29_verify_digest", "SELECT doc_id, doc_id % 2 = 0 AS verified, false AS is_pointer FROM documents")
-def _(spark, d):
-    listed = F.when(F.col("doc_id") % 2 == 0, F.upper(F.sha2("text", 256))).otherwise(F.sha2(F.concat("text", F.lit("!")), 256))
-    pointer = F.startswith(F.col("text"), F.lit("version https://git-lfs"))
-    return t.documents(spark, d).select("doc_id", (F.lower(listed) == F.sha2("text", 256)).alias("verified"), pointer.alias("is_pointer"))
-
-
 @query("fn_30_improvement", "SELECT lang, CASE WHEN avg(n_chars) = 0 THEN 0.0 ELSE (avg(n_chars) - min(n_chars)) / avg(n_chars) * 100 END AS improvement FROM documents GROUP BY lang")
 def _(spark, d):
     g = t.documents(spark, d).groupBy("lang").agg(F.avg("n_chars").alias("p"), F.min("n_chars").alias("c"))
@@ -396,12 +365,6 @@ def _(spark, d):
     return events.windowed(events.page_events(t.table(spark, d, "events"))).withColumn("total_ms", F.round("total_ms", 4))
 
 
-@query("str_05_circuit_breaker")
-def _(spark, d):
-    calls = t.table(spark, d, "events").select((F.col("user_id") % 5).cast("string").alias("engine"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t"), F.when(F.col("event_id") % 4 < 3, "error").otherwise("ok").alias("outcome"))
-    return events.circuit_breaker(calls.withColumn("t", F.col("t") / 1e6))
-
-
 @query("str_06_cache_keys", "SELECT count(DISTINCT sha256(text) || source) AS computed, count(*) AS asked FROM documents")
 def _(spark, d):
     keys = t.documents(spark, d).select(F.concat(F.sha2("text", 256), "source").alias("k"))
@@ -414,18 +377,6 @@ def _(spark, d):
     return t.table(spark, d, "events").groupBy("event_type", state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("str_09_failures_as_data", "SELECT doc_id, TRY_CAST(substr(source, 4) AS INT)::BIGINT AS number, TRY_CAST(substr(source, 4) AS INT) IS NULL AS failed FROM documents")
-def _(spark, d):
-    n = F.substring("source", 4, 9).try_cast("int")
-    return t.documents(spark, d).select("doc_id", n.cast("long").alias("number"), n.isNull().alias("failed"))
-
-
-@query("str_10_undo", "SELECT line_id, first(text ORDER BY store DESC) AS undone FROM ov GROUP BY line_id", t.LINES, t.OVERRIDES)
-def _(spark, d):
-    log = t.overrides(spark, d)
-    return log.groupBy("line_id").agg(F.max(F.struct("store", "text"))["text"].alias("undone"))
-
-
 # Replies, lists and settings
 
 

@@ -149,12 +149,6 @@ def _(spark, d):
     return lines.grounded(model, base.select(*PAGE, "x", "y", "w", "h"), 0.5).select("doc_id", "block_idx", "iou", "grounded")
 
 
-@query("join_04_route_scripts", "SELECT line_id, unnest(CASE script WHEN 'en' THEN ['kraken', 'tess'] WHEN 'de' THEN ['kraken'] ELSE ['tess'] END) AS engine FROM ln", t.LINES)
-def _(spark, d):
-    routes = F.create_map(F.lit("en"), F.array(F.lit("kraken"), F.lit("tess")), F.lit("de"), F.array(F.lit("kraken")))
-    return t.lines(spark, d).select("line_id", F.explode(F.coalesce(F.try_element_at(routes, F.col("script")), F.array(F.lit("tess")))).alias("engine"))
-
-
 #: Both sides drop the same marks from the tables' letters; ê, ç and ñ keep theirs, as only six marks go.
 _KEY = "translate(lower(trim({}, '.,;:!?()[]{{}}-\"''·«»‘’“”–—…')), 'éèáíóú', 'eeaiou')"
 _TOKENS = r"tk AS (SELECT line_id, script, pos, token FROM (SELECT line_id, script, unnest(regexp_extract_all(text, '\S+')) AS token, unnest(range(len(regexp_extract_all(text, '\S+')))) AS pos FROM ln) WHERE script IN ('en', 'de'))"
@@ -437,12 +431,6 @@ def _(spark, d):
     return review.job_outcome(_failed(spark, d)).drop("failed")
 
 
-@query("agg_14_page_outcome", "SELECT doc_id, n_lines, CASE WHEN n_lines = 0 THEN 'EmptyPage' WHEN bad = n THEN 'EngineError' END AS failure FROM (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE text <> '') AS n_lines, count(*) FILTER (WHERE conf < 20) AS bad FROM ln GROUP BY doc_id)", t.LINES)
-def _(spark, d):
-    g = t.lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("text") != "").alias("n_lines"), F.count_if(F.col("conf") < 20).alias("bad"))
-    return g.select("doc_id", "n_lines", F.when(F.col("n_lines") == 0, "EmptyPage").when(F.col("bad") == F.col("n"), "EngineError").alias("failure"))
-
-
 @query("agg_15_job_outcome", "SELECT doc_id, bool_and(len(failures) > 0) AS failed FROM fp GROUP BY doc_id", _FAILED)
 def _(spark, d):
     return review.job_outcome(_failed(spark, d)).select("doc_id", "failed")
@@ -619,12 +607,6 @@ def _(spark, d):
     return t.documents(spark, d).select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("place"))
 
 
-@query("top_06_model_choice", "SELECT lang AS script, coalesce(max(CASE WHEN doc_id % 3 = 0 THEN source END), max(CASE WHEN doc_id % 7 = 0 THEN source END), min(source)) AS model FROM documents GROUP BY lang")
-def _(spark, d):
-    pick = lambda k: F.max(F.when(F.col("doc_id") % k == 0, F.col("source")))
-    return t.documents(spark, d).groupBy(F.col("lang").alias("script")).agg(F.coalesce(pick(3), pick(7), F.min("source")).alias("model"))
-
-
 # Sets
 
 
@@ -656,14 +638,6 @@ def _(spark, d):
     return t.lexicon(spark, d).groupBy("lexicon", "form").agg(F.min("layer").cast("long").alias("layer"))
 
 
-@query("set_04_fallback_layout", "SELECT line_id, 'primary' AS which FROM ln WHERE doc_id % 4 <> 0 UNION ALL SELECT line_id, 'fallback' FROM ln WHERE doc_id % 4 = 0", t.LINES)
-def _(spark, d):
-    base = t.lines(spark, d)
-    primary = base.filter("doc_id % 4 != 0").select("doc_id", "line_id", F.lit("primary").alias("which"))
-    other = base.select("doc_id", "line_id", F.lit("fallback").alias("which")).join(primary, "doc_id", "left_anti")
-    return primary.unionByName(other).select("line_id", "which")
-
-
 @query("set_05_missing_baselines", "SELECT lang FROM documents EXCEPT SELECT unnest(['en', 'de'])")
 def _(spark, d):
     return t.documents(spark, d).select("lang").distinct().join(spark.createDataFrame([("en",), ("de",)], "lang string"), "lang", "left_anti")

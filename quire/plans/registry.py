@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import more, reference  # more registers its queries in reference's tables
+from quire.plans import further, more, reference  # the first two register their queries in reference's tables
 
-_ = more
+_ = further, more
 
 QUERIES = {**reference.QUERIES}
 ORACLE_SQL = {**reference.ORACLE_SQL}

@@ -76,6 +76,11 @@ def hunspell_words(rows: DataFrame) -> DataFrame:
     return rows.filter("idx > 0").select(F.btrim(F.split_part("value", F.lit("/"), F.lit(1))).alias("form")).filter("form != ''")
 
 
+def quoted_keys(rows: DataFrame) -> DataFrame:
+    """Forms of a table that is written as a program's mapping: what stands quoted before a colon. The file is never run."""
+    return rows.withColumn("form", F.explode(F.regexp_extract_all("value", F.lit(r"'([^']+)':"), F.lit(1)))).drop("value")
+
+
 def title_words(rows: DataFrame) -> DataFrame:
     """Single words among page titles (value, idx), after a header row."""
     return rows.filter("idx > 0").select(F.replace("value", F.lit("_"), F.lit(" ")).alias("form")).filter(~F.contains(F.col("form"), F.lit(" ")) & (F.col("form") != ""))

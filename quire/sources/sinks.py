@@ -73,3 +73,154 @@ def word_list(forms: DataFrame) -> DataFrame:
 def envelope(rows: DataFrame) -> DataFrame:
     """Each row as one JSON document."""
     return rows.select(F.to_json(F.struct("*")).alias("json"))
+
+
+# Files of a whole document
+
+
+def _by_document(rows: DataFrame, write) -> DataFrame:
+    """write(pages) -> bytes for each document; a document's rows, one per page, are gathered by the task that writes its file."""
+    def run(key, pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"doc_id": [key[0]], "content": [write(pdf.sort_values("page_no").to_dict("records"))]})
+
+    return rows.groupBy("doc_id").applyInPandas(run, "doc_id long, content binary")
+
+
+def failure_note(page_no: Column, message: Column) -> Column:
+    return F.concat(F.lit("[Page "), page_no, F.lit(" could not be read: "), message, F.lit("]"))
+
+
+def _noted(pages: DataFrame, failures: DataFrame) -> DataFrame:
+    """pages with note, the failures of each, or null."""
+    notes = F.array_join(F.array_sort(F.collect_list(failure_note(F.col("page_no"), F.col("message")))), "\n")
+    return pages.join(failures.groupBy(*PAGE).agg(notes.alias("note")), PAGE, "left")
+
+
+def docx(paragraphs: DataFrame, failures: DataFrame) -> DataFrame:
+    """Each document (doc_id, content) as a Word file: pages broken apart, a style for each role, notes of failed pages in italics."""
+    from quire.sources import docx as files
+
+    both = paragraphs.select(*PAGE).union(failures.select(*PAGE)).distinct()
+    own = paragraphs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("para_idx", "text", "role"))).alias("paragraphs"))
+    rows = _noted(both.join(own, PAGE, "left"), failures)
+
+    def write(pages):
+        none = lambda v: v is None or not hasattr(v, "__len__")
+        return files.write([([] if none(p["paragraphs"]) else [(r["text"], r["role"]) for r in p["paragraphs"]], None if none(p["note"]) else p["note"]) for p in pages])
+
+    return _by_document(rows, write)
+
+
+def searchable_pdf(pages: DataFrame, lines: DataFrame, failures: DataFrame) -> DataFrame:
+    """Each document (doc_id, content) as a PDF file: the page images (PAGE, width, height, content) with the lines' text laid over them invisibly.
+
+    A page without an image is blank; a failed page shows its note.
+    """
+    from quire.sources import pdf as files
+
+    item = F.struct("line_idx", "x", "y", "w", "h", "text")
+    own = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("lines"))
+    rows = _noted(pages.select(*PAGE, "width", "height", "content").join(own, PAGE, "left"), failures)
+
+    def write(found):
+        none = lambda v: v is None or not hasattr(v, "__len__")
+        return files.write([
+            {"width": p["width"], "height": p["height"], "image": None if none(p["content"]) else bytes(p["content"]), "note": None if none(p["note"]) else p["note"],
+             "lines": [] if none(p["lines"]) else [(r["x"], r["y"], r["w"], r["h"], r["text"]) for r in p["lines"]]}
+            for p in found
+        ])
+
+    return _by_document(rows, write)
+
+
+# Tables and folders that grow or are replaced
+
+
+def _place(spark, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def replace_folder(df: DataFrame, path: str, format: str = "parquet") -> None:
+    """Writes df beside the folder and then swaps it in; if writing fails, the old folder stays and nothing is left behind."""
+    spark, part, old = df.sparkSession, path.rstrip("/") + ".part", path.rstrip("/") + ".old"
+    system, place = _place(spark, path)
+    _, beside = _place(spark, part)
+    _, before = _place(spark, old)
+    try:
+        df.write.format(format).mode("overwrite").save(part)
+    except Exception:
+        system.delete(beside, True)
+        raise
+    system.delete(before, True)
+    if system.exists(place) and not system.rename(place, before):
+        raise OSError(f"could not move {path}")
+    if not system.rename(beside, place):
+        system.rename(before, place)
+        raise OSError(f"could not write {path}")
+    system.delete(before, True)
+
+
+def append_corrections(corrections: DataFrame, path: str) -> None:
+    """Adds rows to the store, all or none; rows are never changed or removed."""
+    corrections.write.mode("append").parquet(path)
+
+
+def save_sessions(sessions: DataFrame, path: str) -> None:
+    """Review sessions (key, state) as JSON, one folder per key; a session replaces its former state alone."""
+    spark = sessions.sparkSession
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        sessions.write.mode("overwrite").partitionBy("key").json(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
+def load_sessions(spark, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, key string").json(path)
+
+
+def registered(models: DataFrame) -> DataFrame:
+    """Models (engine, model_hash, content, script, improvement_pct, registered_at) that have the digest they are registered under, with the file that keeps them."""
+    from quire.functions.digests import is_digest, verified
+
+    fine = models.filter(is_digest(F.col("model_hash"))).filter(verified(F.col("content"), F.col("model_hash")))
+    return fine.withColumn("file", F.concat(F.substring(F.lower("model_hash"), 1, 16), F.lit(".mlmodel")))
+
+
+def register(models: DataFrame, path: str) -> None:
+    """Adds the models that are what they say to the registry, a table of promotions and their weights."""
+    registered(models).write.mode("append").parquet(path)
+
+
+def promoted(registry: DataFrame) -> DataFrame:
+    """The newest model of each script; weights aren't read."""
+    last = F.max(F.struct("registered_at", "model_hash", "engine", "file", "improvement_pct")).alias("m")
+    return registry.groupBy("script").agg(last).select("script", "m.engine", "m.model_hash", "m.file", "m.improvement_pct", "m.registered_at")
+
+
+def export_training(samples: DataFrame, folder: str) -> None:
+    """Writes each sample (name, text, image) as an image and a side text by the tasks that hold them, and the list of all as train.json.
+
+    The folder may be in any file system that pyarrow knows.  A task that runs
+    again writes the same files.
+    """
+    from quire.operators.review import training_records
+
+    records = training_records(samples).join(samples.select("name", "image").withColumnRenamed("image", "content"), "name")
+
+    def write(rows):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(f"{base}/images", recursive=True)
+        for r in rows:
+            for name, data in ((r["image"], bytes(r["content"])), (r["side"], r["side_text"].encode())):
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(data)
+
+    records.select("image", "side", "side_text", "content").foreachPartition(write)
+    records.orderBy("name").select("entry").write.mode("overwrite").text(f"{folder}/train.json")

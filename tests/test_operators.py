@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import evaluate, lines, reconcile, review, structure, suggest
+from quire.operators import evaluate, lines, reconcile, resilience, review, structure, suggest
 from quire.plans import registry
 from quire.sources import parsers, sinks
 from quire.streaming import events
@@ -127,7 +127,7 @@ def test_sinks_are_verbatim(spark):
 def test_circuit_breaker(spark):
     calls = [(0, 0.0, "error"), (1, 1.0, "error"), (2, 2.0, "error"), (3, 3.0, "ok"), (4, 33.0, "error"), (5, 40.0, "ok"), (6, 64.0, "ok"), (7, 65.0, "ok")]
     df = spark.createDataFrame([("e", *c) for c in calls], "engine string, seq long, t double, outcome string")
-    got = [(r.state, r.allowed) for r in events.circuit_breaker(df).orderBy("seq").collect()]
+    got = [(r.state, r.allowed) for r in resilience.circuit_breaker(df).orderBy("seq").collect()]
     assert got == [("closed", True)] * 3 + [("open", False), ("half_open", True), ("open", False), ("half_open", True), ("closed", True)]
 
 
