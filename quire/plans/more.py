@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import boxes, text
 from quire.operators import evaluate, lines, review, structure, suggest
 from quire.plans import testbed as t
-from quire.plans.reference import _FINAL, _KEY, _KNOWN, _PAIRS, _TOKENS, _pairs, _words, query
+from quire.plans.reference import _FINAL, _KEY, _KNOWN, _PAIRS, _TOKENS, _one, _pairs, _sql_cer, _words, query
 from quire.sources import parsers, replies, sinks
 from quire.streaming import events
 
@@ -219,10 +219,19 @@ def _(spark, d):
 _SHORT = {"th.": "the", "nd.": "and"}
 
 
-@query("fn_11_abbreviations", r"SELECT line_id, regexp_replace(regexp_replace(replace(text, ' the ', ' th. '), '(^|[^\pL\pN_.])th[.]($|[^\pL\pN_])', '\1the\2', 'g'), '(^|[^\pL\pN_.])nd[.]($|[^\pL\pN_])', '\1and\2', 'g') AS expanded FROM ln WHERE script = 'en' AND NOT regexp_matches(text, '(th|nd)[.]')", t.LINES)
+_SHORTENED = "replace(text, ' the ', ' th. ')"
+
+
+def _sql_expanded(line: str, short: str, long: str) -> str:
+    """Twice, as a match takes the signs around it along."""
+    for _ in range(2):
+        line = rf"regexp_replace({line}, '(^|[^\pL\pN\pM_]){short}[.]($|[^\pL\pN\pM_])', '\1{long}\2', 'g')"
+    return line
+
+
+@query("fn_11_abbreviations", f"SELECT line_id, {_sql_expanded(_sql_expanded(_SHORTENED, 'th', 'the'), 'nd', 'and')} AS expanded FROM ln", t.LINES)
 def _(spark, d):
-    base = t.lines(spark, d).filter("script = 'en'").filter(~F.col("text").rlike("(th|nd)[.]"))
-    return base.select("line_id", suggest.expand(F.replace("text", F.lit(" the "), F.lit(" th. ")), _SHORT).alias("expanded"))
+    return t.lines(spark, d).select("line_id", suggest.expand(F.replace("text", F.lit(" the "), F.lit(" th. ")), _SHORT).alias("expanded"))
 
 
 @query(
@@ -240,11 +249,13 @@ def _(spark, d):
     return suggest.lexicon_flags(spans, t.lexicon(spark, d)).select("line_id", F.col("pos").cast("long").alias("pos"), "source_text", "reason", F.col("start").cast("long").alias("start"))
 
 
-@query("fn_14_candidate_shape", r"SELECT line_id, regexp_replace(lower(substr(text, 1, 30)), '[0-9]+', '@', 'g') AS shape FROM ln WHERE script = 'en' AND NOT regexp_matches(lower(substr(text, 1, 30)), '(^|[^a-z])[ivxlcdm]+($|[^a-z])') AND trim(substr(text, 1, 30)) = substr(text, 1, 30) AND regexp_full_match(text, '[ -~]*')", t.LINES)
+_SHAPED = "regexp_replace(translate(lower(trim(text)), 'äçèéêíñóöü', 'aceeeinoou'), '[0-9]+', '@', 'g')"
+_NUMERAL = r"'(^|[^\pL\pN\pM_])[ivxlcdm]+($|[^\pL\pN\pM_])', '\1@\2', 'g'"
+
+
+@query("fn_14_candidate_shape", f"SELECT line_id, regexp_replace(regexp_replace({_SHAPED}, {_NUMERAL}), {_NUMERAL}) AS shape FROM ln WHERE script = 'en'", t.LINES)
 def _(spark, d):
-    head = F.substring("text", 1, 30)
-    base = t.lines(spark, d).filter("script = 'en'").filter(~F.lower(head).rlike("(^|[^a-z])[ivxlcdm]+($|[^a-z])") & (F.trim(head) == head) & F.col("text").rlike("^[ -~]*$"))
-    return base.select("line_id", text.normalize_candidate(head).alias("shape"))
+    return t.lines(spark, d).filter("script = 'en'").select("line_id", text.normalize_candidate(F.col("text")).alias("shape"))
 
 
 @query("fn_15_similarity")
@@ -258,35 +269,32 @@ def _(spark, d):
     return t.lines(spark, d).select("line_id", ((F.col("doc_id") % 5 != 0) & text.is_folio(f)).alias("folio"), text.is_footnote(F.concat("line_idx", F.lit(" "), "text")).alias("footnote"))
 
 
-@query("fn_20_edit_distance", "SELECT doc_id, line_idx, levenshtein(reference, hypothesis) AS distance FROM pa WHERE regexp_full_match(reference, '[ -~]*')", t.LINES, _PAIRS)
+@query("fn_20_edit_distance", f"SELECT doc_id, line_idx, levenshtein({_one('reference')}, {_one('hypothesis')}) AS distance FROM pa", t.LINES, _PAIRS)
 def _(spark, d):
-    return _pairs(spark, d).filter(F.col("reference").rlike("^[ -~]*$")).select("doc_id", "line_idx", F.levenshtein("reference", "hypothesis").cast("long").alias("distance"))
+    return _pairs(spark, d).select("doc_id", "line_idx", text.distance(F.col("reference"), F.col("hypothesis")).cast("long").alias("distance"))
 
 
-@query("fn_21_character_error", "SELECT doc_id, line_idx, levenshtein(reference, hypothesis)::DOUBLE / length(reference) AS cer FROM pa WHERE regexp_full_match(reference, '[ -~]*')", t.LINES, _PAIRS)
+@query("fn_21_character_error", f"SELECT doc_id, line_idx, {_sql_cer('reference', 'hypothesis')} AS cer FROM pa", t.LINES, _PAIRS)
 def _(spark, d):
-    return _pairs(spark, d).filter(F.col("reference").rlike("^[ -~]*$")).select("doc_id", "line_idx", text.character_error_rate(F.col("reference"), F.col("hypothesis")).alias("cer"))
+    return _pairs(spark, d).select("doc_id", "line_idx", text.character_error_rate(F.col("reference"), F.col("hypothesis")).alias("cer"))
 
 
-@query(
-    "fn_22_word_error",
-    r"""SELECT doc_id, line_idx, CASE WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE levenshtein(array_to_string(list_transform(r, lambda w: chr(34 + list_position(v, w)::INT)), ''), array_to_string(list_transform(h, lambda w: chr(34 + list_position(v, w)::INT)), ''))::DOUBLE / len(r) END AS wer
-    FROM (SELECT *, list_distinct(list_concat(r, h)) AS v FROM (SELECT doc_id, line_idx, regexp_extract_all(reference, '\S+') AS r, regexp_extract_all(hypothesis, '\S+') AS h FROM pa)) WHERE len(v) < 90""",
-    t.LINES, _PAIRS,
-)
+@query("fn_22_word_error")
 def _(spark, d):
-    words = F.size(F.array_distinct(F.concat(text.tokens(F.col("reference")), text.tokens(F.col("hypothesis")))))
-    return _pairs(spark, d).filter(words < 90).select("doc_id", "line_idx", text.word_error_rate(F.col("reference"), F.col("hypothesis")).alias("wer"))
+    return _pairs(spark, d).select("doc_id", "line_idx", text.word_error_rate(F.col("reference"), F.col("hypothesis")).alias("wer"))
 
 
-@query("fn_23_regression_exceeded", "SELECT doc_id, line_idx, levenshtein(reference, hypothesis)::DOUBLE / length(reference) > 0.1::DOUBLE + 0.05::DOUBLE AS exceeded FROM pa WHERE regexp_full_match(reference, '[ -~]*')", t.LINES, _PAIRS)
+@query("fn_23_regression_exceeded", f"SELECT doc_id, line_idx, {_sql_cer('reference', 'hypothesis')} > 0.1::DOUBLE + 0.05::DOUBLE AS exceeded FROM pa", t.LINES, _PAIRS)
 def _(spark, d):
-    p = _pairs(spark, d).filter(F.col("reference").rlike("^[ -~]*$"))
+    p = _pairs(spark, d)
     return p.select("doc_id", "line_idx", (text.character_error_rate(F.col("reference"), F.col("hypothesis")) > F.lit(0.1) + 0.05).alias("exceeded"))
 
 
-@query("fn_25_apply_suggestions", """SELECT line_id, CASE WHEN line_idx % 3 = 0 THEN translate(text, 'e', 'o') WHEN substr(translate(text, 'e', 'o'), 1, 2) = substr(text, 1, 2) THEN upper(substr(translate(text, 'äöüßéèêçñáíóú', 'aouseeecnaiou'), 1, 2)) || substr(translate(text, 'e', 'o'), 3)
-    WHEN (length(translate(text, 'e', 'o')) - length(replace(translate(text, 'e', 'o'), substr(text, 1, 2), ''))) // 2 = 1 THEN replace(translate(text, 'e', 'o'), substr(text, 1, 2), upper(substr(translate(text, 'äöüßéèêçñáíóú', 'aouseeecnaiou'), 1, 2))) ELSE translate(text, 'e', 'o') END AS applied
+_APPLIED = """CASE WHEN line_idx % 3 = 0 THEN translate(text, 'e', 'o') WHEN substr(translate(text, 'e', 'o'), 1, 2) = substr(text, 1, 2) THEN upper(substr(translate(text, 'äöüßéèêçñáíóú', 'aouseeecnaiou'), 1, 2)) || substr(translate(text, 'e', 'o'), 3)
+    WHEN (length(translate(text, 'e', 'o')) - length(replace(translate(text, 'e', 'o'), substr(text, 1, 2), ''))) // 2 = 1 THEN replace(translate(text, 'e', 'o'), substr(text, 1, 2), upper(substr(translate(text, 'äöüßéèêçñáíóú', 'aouseeecnaiou'), 1, 2))) ELSE translate(text, 'e', 'o') END"""
+
+
+@query("fn_25_apply_suggestions", f"""SELECT line_id, {_APPLIED} AS applied
     FROM ln WHERE (doc_id + line_idx) % 3 = 0 AND length(text) > 3""", t.LINES)
 def _(spark, d):
     out = review.with_suggestions(t.lines(spark, d), t.suggestions(spark, d)).filter("n_suggestions > 0")
@@ -335,10 +343,10 @@ def _(spark, d):
 # Review, promotion, streams
 
 
-@query("rev_01_accept_reversible", "SELECT line_id, translate(text, 'e', 'o') AS accepted FROM ln WHERE (doc_id + line_idx) % 3 = 0 AND length(text) > 3 AND line_idx % 3 = 0 AND translate(text, 'e', 'o') <> text", t.LINES)
+@query("rev_01_accept_reversible", f"SELECT * FROM (SELECT line_id, text, {_APPLIED} AS accepted FROM ln WHERE (doc_id + line_idx) % 3 = 0 AND length(text) > 3) WHERE accepted <> text", t.LINES)
 def _(spark, d):
-    out = review.with_suggestions(t.lines(spark, d), t.suggestions(spark, d)).filter("n_suggestions > 0 and line_idx % 3 = 0")
-    return out.select("line_id", suggest.apply_all(F.col("text"), F.col("suggestions")).alias("accepted"), "text").filter("accepted != text").drop("text")
+    out = review.with_suggestions(t.lines(spark, d), t.suggestions(spark, d)).filter("n_suggestions > 0")
+    return out.select("line_id", "text", suggest.apply_all(F.col("text"), F.col("suggestions")).alias("accepted")).filter("accepted != text")
 
 
 @query("rev_02_reviewed_export", "SELECT doc_id, string_agg(final_text, chr(10) ORDER BY line_idx) AS body FROM fi GROUP BY doc_id", t.LINES, t.OVERRIDES, _FINAL)

@@ -92,3 +92,36 @@ def test_similarity_query_compares_whole_lines(spark):
     assert len(got) == len(lines) and max(map(len, lines.values())) > 40
     swap = str.maketrans("eio", "oei")
     assert all(got[k] == pytest.approx(difflib.SequenceMatcher(None, x, x.translate(swap)).ratio()) for k, x in lines.items())
+
+
+def table_edits(a, b):
+    """Edit distance by the table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edits_as_bits(spark):
+    rng = random.Random(1)
+    some = lambda n: "".join(rng.choice("abcé😀 ") for _ in range(n))
+    pairs = [(some(rng.randint(0, 90)), some(rng.randint(0, 90))) for _ in range(300)]
+    pairs += [(p, p[: rng.randint(0, 90)] + "x" + p[rng.randint(0, 90) :]) for p, _ in pairs] + [("", ""), ("a", ""), ("", "ab")]
+    assert all(text.edits(a, b) == table_edits(a, b) for a, b in pairs)
+    long = some(900)
+    rows = [*pairs[:40], (long, long[:300] + long[350:] + "zz"), (None, "a"), (long, None)]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", text.distance(F.col("a"), F.col("b")).alias("n"))
+    assert all(r.n == (None if r.a is None or r.b is None else table_edits(r.a, r.b)) for r in df.collect())
+
+
+def test_word_error_rate(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(7000)]
+    many = rng.sample(words, 7000)
+    rows = [("a b c", "a x c"), ("", ""), ("", "a"), ("a b", "a b"), (" ".join(many), " ".join(many[:3000] + ["new"] + many[3001:])), (" ".join(many[:200]), " ".join(reversed(many[:200])))]
+    got = [r.e for r in spark.createDataFrame(rows, "a string, b string").select(text.word_error_rate(F.col("a"), F.col("b")).alias("e")).collect()]
+    assert got[:4] == [1 / 3, 0.0, 1.0, 0.0] and got[4] == 1 / 7000
+    assert got[5] == table_edits(many[:200], many[:200][::-1]) / 200
