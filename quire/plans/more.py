@@ -142,12 +142,33 @@ def _(spark, d):
     return sinks.markdown(t.lines(spark, d).select(*PAGE, F.col("line_idx").alias("para_idx"), "text", role.alias("role")))
 
 
-@query("snk_03_alto")
+def _sql_escaped(x: str) -> str:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{char}', '{entity}')"
+    return x
+
+
+_PLACE = """' HPOS="' || x || '" VPOS="' || y || '" WIDTH="' || w || '" HEIGHT="' || h || '"'"""
+
+
+@query(
+    "snk_03_alto",
+    f"""SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?><alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Layout><Page PHYSICAL_IMG_NR="' || page_no || '"><PrintSpace><TextBlock>' || string_agg(
+      '<TextLine ID="' || line_id || '"' || {_PLACE} || '><String CONTENT="' || {_sql_escaped('text')} || '" WC="' || format('{{:.6f}}', conf / 100) || '"' || {_PLACE} || '/></TextLine>', '' ORDER BY line_idx)
+      || '</TextBlock></PrintSpace></Page></Layout></alto>' AS body FROM ln GROUP BY doc_id, page_no""",
+    t.LINES,
+)
 def _(spark, d):
     return sinks.alto(t.lines(spark, d))
 
 
-@query("snk_04_page_xml")
+@query(
+    "snk_04_page_xml",
+    f"""SELECT doc_id, page_no, '<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"><Page><TextRegion>' || string_agg(
+      '<TextLine id="' || line_id || '"><Coords points="' || x || ',' || y || ' ' || (x + w) || ',' || y || ' ' || (x + w) || ',' || (y + h) || ' ' || x || ',' || (y + h) || '"/><TextEquiv conf="'
+      || format('{{:.6f}}', conf / 100) || '"><Unicode>' || {_sql_escaped('text')} || '</Unicode></TextEquiv></TextLine>', '' ORDER BY line_idx) || '</TextRegion></Page></PcGts>' AS body FROM ln GROUP BY doc_id, page_no""",
+    t.LINES,
+)
 def _(spark, d):
     return sinks.page_xml(t.lines(spark, d))
 
@@ -205,15 +226,21 @@ def _(spark, d):
     return t.lines(spark, d).select("line_id", text.is_latin_dominant(F.translate("text", "aeotn", "αεοτν")).alias("latin"))
 
 
-@query("fn_08_diacritics")
+@query(
+    "fn_08_diacritics",
+    "SELECT line_id, CASE line_idx % 4 WHEN 0 THEN [] WHEN 1 THEN ['multiple_breathing_marks'] WHEN 2 THEN ['multiple_accent_marks'] ELSE ['multiple_breathing_marks', 'multiple_accent_marks', 'multiple_accent_marks'] END AS flags FROM ln",
+    t.LINES,
+)
 def _(spark, d):
-    odd = F.concat(F.translate("text", "a", "ἄ"), F.lit("ἄ̓́"))
+    # One breathing and one accent on each alpha, and then letters with more of one, of the other, or of both.
+    rest = [F.lit(x) for x in ("\u1f04", "\u1f04\u0314", "\u1f04\u0300", "\u1f04\u0313\u0301\u03b7\u0342\u0301")]
+    odd = F.concat(F.translate("text", "a", "\u1f04"), F.element_at(F.array(*rest), (F.col("line_idx") % 4 + 1).cast("int")))
     return t.lines(spark, d).select("line_id", text.diacritic_violations(odd).alias("flags"))
 
 
-@query("fn_09_dangling_marks")
+@query("fn_09_dangling_marks", r"SELECT line_id, len(regexp_extract_all(translate(text, 'x ', chr(769) || chr(769)), '(?:^|[^\pL\pM])\pM')) AS n FROM ln", t.LINES)
 def _(spark, d):
-    return t.lines(spark, d).select("line_id", text.dangling_marks(F.translate("text", "x ", "́́")).alias("n"))
+    return t.lines(spark, d).select("line_id", text.dangling_marks(F.translate("text", "x ", "\u0301\u0301")).cast("long").alias("n"))
 
 
 _SHORT = {"th.": "the", "nd.": "and"}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import boxes, text
-from quire.operators import evaluate, lines, reconcile, review, structure, suggest
+from quire.operators import evaluate, lines, order, reconcile, review, structure, suggest
 from quire.plans import testbed as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,8 +187,7 @@ def _(spark, d):
     head = base.filter("line_idx = 0").withColumn("text", F.concat("source", F.lit(" "), "doc_id")).withColumn("line_idx", F.lit(-2).cast("long"))
     folio = base.filter("line_idx = 0").withColumn("text", F.concat(F.lit("— "), F.col("doc_id") % 1000, F.lit(" —"))).withColumn("line_idx", F.lit(-1).cast("long"))
     whole = base.unionByName(head.withColumn("y", F.col("y") - 60)).unionByName(folio.withColumn("y", F.col("y") - 30))
-    pages = base.select("doc_id", "page_no", "source").distinct()
-    pages = pages.withColumn("page_idx", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    pages = order.numbered(base.select("doc_id", "page_no", "source").distinct(), F.col("source"), "doc_id", "page_idx")
     return structure.running_heads(whole.drop("source"), pages, "source").select("doc_id", "line_idx", "similarity")
 
 
@@ -610,7 +609,7 @@ def _(spark, d):
 
 @query("top_05_page_order", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents")
 def _(spark, d):
-    return t.documents(spark, d).select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("place"))
+    return order.numbered(t.documents(spark, d).select("doc_id", "source"), F.col("source"), "doc_id", "place").select("doc_id", "place")
 
 
 # Sets
