@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import boxes, digests, images, results, text
-from quire.operators import pages, resilience, review, suggest
+from quire.operators import pages, resilience, review, suggest, training
 from quire.plans import testbed as t
 from quire.plans.reference import PAGE, query
-from quire.sources import docx, parsers, pdf, png, scans, sinks
+from quire.sources import docx, parsers, pdf, png, scans, settings, sinks
 from quire.streaming import events
 
 
@@ -623,3 +623,53 @@ def _(spark, d):
     manifest = spark.createDataFrame([("b.mlmodel", "kraken", True), ("a.mlmodel", "kraken", False)], "name string, engine string, is_default boolean")
     return pages.chosen_model(scripts, promotions, manifest, spark.createDataFrame([("a.mlmodel",), ("b.mlmodel",)], "name string")).select("script", "model")
 
+
+@query("src_21_host_settings", """SELECT doc_id AS host, CASE doc_id % 4 WHEN 0 THEN 'app-' || lang ELSE 'quire' END AS app_name, CASE doc_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 300 END::BIGINT AS dpi,
+    CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN NULL ELSE false END AS strict, source AS tenant,
+    list_filter([CASE WHEN doc_id % 3 = 2 THEN 'QUIRE_DPI' END, CASE WHEN doc_id % 5 = 2 THEN 'QUIRE_STRICT' END], lambda x: x IS NOT NULL) AS wrong FROM documents""")
+def _(spark, d):
+    i = F.col("doc_id")
+    one = lambda name, value: F.struct(F.lit(f"QUIRE_{name}").alias("name"), value.alias("value"))
+    four = F.array(
+        one("APP_NAME", F.when(i % 4 == 0, F.concat(F.lit(" app-"), "lang")).otherwise(F.lit(" "))), one("DPI", F.when(i % 3 == 0, " 200 ").when(i % 3 == 2, "many")),
+        one("STRICT", F.when(i % 5 == 0, "Yes").when(i % 5 == 1, "off").when(i % 5 == 2, "maybe").when(i % 5 == 3, "")), one("API_KEYS", F.concat(F.lit("k:"), "source", F.lit(", other:x"))),
+    )
+    rows = t.documents(spark, d).select(i.alias("host"), F.inline(four))
+    out = settings.scan(rows)
+    return out.select("host", "app_name", F.col("dpi").cast("long").alias("dpi"), "strict", F.col("api_keys")["k"].alias("tenant"), "wrong")
+
+
+@query("str_03_streamed_events", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, CASE WHEN event_type = 'error' THEN 'page_failed' ELSE 'page_completed' END AS event_type, count(*) AS n, round(sum(value), 4) AS total_ms FROM events GROUP BY 1, 2")
+def _(spark, d):
+    folder = scratch(spark)
+    rows = t.table(spark, d, "events")
+    rows.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    stream = events.windowed(events.page_events(events.page_stream(spark, f"{folder}/in", schema, max_files=1)))
+    writer = stream.writeStream.outputMode("complete").foreachBatch(lambda b, _n: b.write.mode("overwrite").parquet(f"{folder}/out"))
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").withColumn("total_ms", F.round("total_ms", 4))
+
+
+@query("top_07_candidate_caps", "SELECT DISTINCT text AS token, CASE WHEN length(text) BETWEEN 1 AND 64 THEN least(512, 60 * (length(text) - length(replace(text, 'e', '')))) ELSE 0 END AS n FROM ln", t.LINES)
+def _(spark, d):
+    # Sixty targets for each e: lines with many reach the cap, and long ones have none.
+    pairs = [("e", chr(0x4E00 + k)) for k in range(60)]
+    return t.lines(spark, d).select(F.col("text").alias("token")).distinct().select("token", F.size(suggest.confusion_candidates(F.col("token"), pairs)).cast("long").alias("n"))
+
+
+@query("trn_03_training_command", "SELECT doc_id, '--device cpu train ' || CASE WHEN doc_id % 2 = 0 THEN '-i ' || source || ' ' ELSE '' END || '--epochs 10 --quit fixed --lrate 0.0001 ' || lang || '/images/*.png' AS arguments, 7200::BIGINT AS timeout_s FROM documents")
+def _(spark, d):
+    jobs = t.documents(spark, d).select("doc_id", F.col("lang").alias("folder"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("parent"), F.lit("cpu").alias("device"))
+    return training.training_command(jobs).select("doc_id", F.array_join("arguments", " ").alias("arguments"), F.col("timeout_s").cast("long").alias("timeout_s"))
+
+
+@query("snk_13_listed_models", "SELECT lang AS name, max(doc_id) AS pos, max(doc_id) % 2 = 0 AS fine FROM documents GROUP BY lang")
+def _(spark, d):
+    from quire.sources import replies
+
+    docs = t.documents(spark, d).withColumn("name", F.col("lang"))
+    entries = docs.select("name", F.col("doc_id").alias("pos"), F.lit("kraken").alias("engine"), F.when(F.col("doc_id") % 2 == 0, F.upper(F.sha2("text", 256))).otherwise(F.sha2(F.lit("x"), 256)).alias("sha256"))
+    listed = replies.latest_by_name(entries)
+    there = docs.select("name", F.col("doc_id").alias("pos"), F.col("text").alias("content"))
+    return listed.join(there, ["name", "pos"]).select("name", "pos", digests.verified(F.col("content"), F.col("sha256")).alias("fine"))

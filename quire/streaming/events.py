@@ -17,9 +17,11 @@ def page_events(events: DataFrame) -> DataFrame:
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Page events by tumbling window and type; for a stream, with a watermark."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    # Watermarks need instants; the windows are given back in the table's own kind of time.
+    kind = events.schema["ts"].dataType
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     out = marked.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms"))
-    return out.select(F.col("window.start").alias("start"), "event_type", "n", "total_ms")
+    return out.select(F.col("window.start").cast(kind).alias("start"), "event_type", "n", "total_ms")
 
 
 def page_stream(spark: SparkSession, folder: str, schema: str, format: str = "parquet", max_files: int = 8) -> DataFrame:

@@ -242,3 +242,53 @@ def test_exit_codes_and_models(spark):
     new = spark.createDataFrame([("grc", 1, "kraken", "old"), ("grc", 2, "kraken", "new")], "script string, pos long, engine string, model string")
     assert chosen(new, manifest, files) == "new"
     assert chosen(new.withColumn("engine", F.lit("other")), manifest, files) == "m"
+
+
+def test_settings():
+    from quire.sources.settings import Settings
+
+    got = Settings.read({"QUIRE_DPI": " 200", "QUIRE_STRICT": "On", "QUIRE_CORS_ORIGINS": "a, ,b", "QUIRE_API_KEYS": "k:t, l : u", "QUIRE_WORKERS": "", "OTHER": "x"})
+    assert got == Settings(dpi=200, strict=True, cors_origins=("a", "b"), api_keys=(("k", "t"), ("l", "u")))
+    for name, value in (("DPI", "many"), ("STRICT", "maybe"), ("API_KEYS", "lonely")):
+        with pytest.raises(ValueError, match=name):
+            Settings.read({f"QUIRE_{name}": value})
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quire.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.png").write_bytes(png.encode(np.zeros((2, 3), np.uint8)))
+    assert main(["run", str(tmp_path / "in"), str(tmp_path / "out")], spark) == 0
+    (tmp_path / "in/b.jpg").write_bytes(b"torn")
+    assert main(["run", str(tmp_path / "in"), str(tmp_path / "out")], spark) == 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    spark.createDataFrame([("grc", "abcd", "abce")], "script string, reference string, hypothesis string").write.parquet(str(tmp_path / "pairs"))
+    for cer, code in ((0.5, 0), (0.1, 1)):
+        spark.createDataFrame([("grc", cer, 1.0)], "script string, cer double, wer double").write.mode("overwrite").parquet(str(tmp_path / "base"))
+        assert main(["eval", str(tmp_path / "pairs"), "--baseline", str(tmp_path / "base")], spark) == code
+    assert main(["eval", str(tmp_path / "pairs")], spark) == 0 and main(["eval", str(tmp_path / "nowhere")], spark) == 1
+    assert main(["what"], spark) == 2 and main([], spark) == 2
+    assert main(["doctor", "--models", str(tmp_path)], spark) == 3
+    assert "problems" in capsys.readouterr().out
+
+
+def test_training_run(spark):
+    from quire.operators.training import NOTHING, TrainingPorts, run_training
+
+    done = []
+    corrections = spark.createDataFrame([("l1", 1, "grc", 20, " text ", "t", True), ("l2", 1, "lat", 20, "x", "t", True), ("l3", 1, "grc", 3, "low", "t", True)], "line_id string, page_no long, script string, h int, corrected_text string, corrected_at string, accepted boolean")
+    report = lambda cer: spark.createDataFrame([("grc", cer, 20)], "script string, cer double, samples long")
+
+    def ports(cer, **other):
+        base = dict(
+            corrections=lambda: corrections, images=lambda: spark.createDataFrame([(1, b"img")], "page_no long, image binary"), export=lambda s: done.append([(r.name, r.text) for r in s.collect()]),
+            train=lambda: "new", evaluate=lambda m: report(cer if m else 0.2), register=lambda m, r: done.append(m),
+        )
+        return TrainingPorts(**(base | other))
+
+    assert run_training(ports(0.1), ["grc"]) == ("promote", "new") and done == [[("line-l1.png", "text")], "new"]
+    assert run_training(ports(0.3), ["grc"])[1] is None and done[2:] == [[("line-l1.png", "text")]]
+    assert run_training(ports(0.1), ["ell"]) == (NOTHING, None)
+    with pytest.raises(ValueError):
+        run_training(ports(0.1, evaluate=None), ["grc"])
