@@ -104,13 +104,14 @@ class Index:
         return codes.astype(np.uint8), np.sqrt(error)
 
     def near(self, queries: np.ndarray, which: int, codes: np.ndarray, error: np.ndarray, radius: float) -> np.ndarray:
-        """Pairs (query, code of list which) that may be within the radius, by table look-ups."""
+        """Pairs (code of list which, query) that may be within the radius, by table look-ups."""
         left = queries - self.centroids[which]
-        total = np.zeros((len(queries), len(codes)), np.float32)
+        total = np.zeros((len(codes), len(queries)), np.float32)
         for k, (c, book) in enumerate(zip(self.cuts, self.books)):
-            tables = ((left[:, c] ** 2).sum(1)[:, None] + (book**2).sum(1) - 2 * left[:, c] @ book.T).astype(np.float32)
-            total += tables[:, codes[:, k]]
-        return np.sqrt(np.maximum(total, 0)) <= radius + error.astype(np.float32) + 1e-3
+            # A row of the table per code, so that a look-up copies a row.
+            tables = ((book**2).sum(1)[:, None] + (left[:, c] ** 2).sum(1) - 2 * book @ left[:, c].T).astype(np.float32)
+            total += tables[codes[:, k]]
+        return total <= ((radius + error + 1e-3) ** 2).astype(np.float32)[:, None]
 
 
 def _unit(v: pa.Array) -> np.ndarray:
@@ -181,7 +182,7 @@ def _compare(sent, threshold: float):
                     back[k, p - numbered] = True
                 for lo in range(0, len(q), 256):
                     part = q[lo : lo + 256]
-                    a, b = np.nonzero(index.near(raw[part] / norm[part, None], which, codes, error, radius))
+                    b, a = np.nonzero(index.near(raw[part] / norm[part, None], which, codes, error, radius))
                     for k in range(0, len(a), 50_000):
                         one, two, of = part[a[k : k + 50_000]], m[b[k : k + 50_000]], b[k : k + 50_000]
                         cosine = np.einsum("ij,ij->i", raw[one], raw[two]) / (norm[one] * norm[two])
