@@ -104,13 +104,18 @@ class Index:
         return codes.astype(np.uint8), np.sqrt(error)
 
     def near(self, queries: np.ndarray, which: int, codes: np.ndarray, error: np.ndarray, radius: float) -> np.ndarray:
-        """Pairs (code of list which, query) that may be within the radius, by table look-ups."""
-        left = queries - self.centroids[which]
-        total = np.zeros((len(codes), len(queries)), np.float32)
+        """Pairs (code of list which, query) that may be within the radius, by table look-ups.
+
+        A query's distance to a code is -2 times their product, which is in the
+        table, and its distance to the centroid, and a number of the code's own.
+        """
+        centre = self.centroids[which]
+        fixed = sum(((book**2).sum(1) + 2 * book @ centre[c])[codes[:, k]] for k, (c, book) in enumerate(zip(self.cuts, self.books)))
+        total = (fixed[:, None] + ((queries - centre) ** 2).sum(1)).astype(np.float32)
+        doubled = (-2 * queries.T).astype(np.float32)
         for k, (c, book) in enumerate(zip(self.cuts, self.books)):
             # A row of the table per code, so that a look-up copies a row.
-            tables = ((book**2).sum(1)[:, None] + (left[:, c] ** 2).sum(1) - 2 * book @ left[:, c].T).astype(np.float32)
-            total += tables[codes[:, k]]
+            total += (book.astype(np.float32) @ doubled[c])[codes[:, k]]
         return total <= ((radius + error + 1e-3) ** 2).astype(np.float32)[:, None]
 
 
@@ -171,6 +176,7 @@ def _compare(sent, threshold: float):
             norm = np.sqrt((raw**2).sum(1))
             at = np.repeat(queries, [len(p) for p in pdf["probes"].iloc[queries]])
             probed = np.concatenate(pdf["probes"].iloc[queries].to_numpy()) - numbered
+            unit = raw[queries] / norm[queries, None]
             for which in np.unique(own[member]):
                 q, m = at[probed == which], np.flatnonzero(member & (own == which))
                 if not len(q):
@@ -182,7 +188,8 @@ def _compare(sent, threshold: float):
                     back[k, p - numbered] = True
                 for lo in range(0, len(q), 256):
                     part = q[lo : lo + 256]
-                    b, a = np.nonzero(index.near(raw[part] / norm[part, None], which, codes, error, radius))
+                    places = np.searchsorted(queries, part)
+                    b, a = np.nonzero(index.near(unit[places], which, codes, error, radius))
                     for k in range(0, len(a), 50_000):
                         one, two, of = part[a[k : k + 50_000]], m[b[k : k + 50_000]], b[k : k + 50_000]
                         cosine = np.einsum("ij,ij->i", raw[one], raw[two]) / (norm[one] * norm[two])
