@@ -1,5 +1,8 @@
 """Operators on the survey's small fixtures."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import evaluate, lines, reconcile, resilience, review, structure, suggest
@@ -61,6 +64,36 @@ def test_blocks_to_lines(spark):
     assert (first.text, first.conf, first.x, first.y, first.w, first.h, first.cand_id) == ("b a", 80.0, 0, 0, 75, 22, "s0-t")
 
 
+def test_pages_are_read_as_blocks_are(spark):
+    """Pages in parts give the lines that assigning and composing rows gives, whatever overlaps, ties or is empty."""
+    rng = random.Random(3)
+    segs, blks, parts = [], [], []
+    for page in range(30):
+        box = lambda tall: (rng.randint(0, 60), rng.randint(-20, 200), rng.randint(1, 60), rng.choice(tall))
+        s = [(k, f"s{k}", "grc", "main", k, *box((1, 8, 9, 150))) for k in range(rng.randint(0, 9))]
+        segs += [(page, 1, *x) for x in s]
+        for engine in "ab":
+            b = [(rng.randint(0, 30), rng.choice(("", "x", "yy", None)), rng.choice((None, 1.0, 50.0)), *box((1, 8, 20))) for _ in range(rng.randint(0, 40))]
+            b = list({x[0]: x for x in b}.values())
+            blks += [(page, 1, engine, "m", "v" if engine == "b" else "", *x) for x in b]
+            parts += [(page, 1, engine, "m", "v" if engine == "b" else "", n, 3, s[n::3], b[n::3]) for n in range(3)]
+    page, box = "doc_id long, page_no long, ", "x long, y long, w long, h long"
+    seg = spark.createDataFrame(segs, page + "seg_idx long, seg_id string, script string, region_type string, reading_order long, " + box)
+    blk = spark.createDataFrame(blks, page + "engine string, model_name string, variant string, block_idx long, text string, conf double, " + box)
+    whole = spark.createDataFrame(parts, lines.PARTS.format(page=page.rstrip(", "))).coalesce(1)
+    want = lines.compose_lines(lines.assign_blocks(seg, blk))
+    got = lines.read_pages(whole).select(want.columns).collect()
+    assert len(got) > 50 and sorted(map(str, got)) == sorted(map(str, want.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert sorted(map(str, lines.read_pages(whole).select(want.columns).collect())) == sorted(map(str, got))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for torn in ("part != 1", "doc_id != 29 or engine != 'b' or part != 2"):
+        with pytest.raises(Exception, match="a page"):
+            lines.read_pages(whole.filter(torn)).collect()
+
+
 def test_readings(spark):
     rows = [(0, "grc", "", "alpha beta gamma", 50.0), (1, "ell", "", "alpha bets gamma", 90.0), (2, "eng", "", "alpha bets  gamma", 10.0), (3, "grc", "otsu", "x", 99.0)]
     df = spark.createDataFrame([("d", 1, 0, *r) for r in rows], "doc_id string, page_no int, line_idx int, cand_ord int, model_name string, variant string, text string, conf double")

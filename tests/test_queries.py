@@ -154,3 +154,9 @@ def test_pipeline_suggestions(spark, sf_dir):
             bare = token.strip(text.EDGE).lower()
             assert ((line, at) in flagged) == (scripts[line] in ("en", "de") and bare != "" and bare not in known)
             at += len(token)
+
+
+def test_words_of_pages_are_not_shuffled(spark, sf_dir):
+    """Rows of single words are several times the size of their texts."""
+    plan = registry.QUERIES["agg_01_compose_lines"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "block_idx" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
