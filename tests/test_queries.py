@@ -6,6 +6,7 @@ import random
 import pytest
 
 from quire.functions import images, text
+from quire.operators import reconcile
 from quire.plans import further, registry, testbed
 from tests.test_text import table_edits
 
@@ -161,3 +162,20 @@ def test_words_of_pages_are_not_shuffled(spark, sf_dir, name):
     """Rows of single words are several times the size of their texts."""
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "block_idx" not in "".join(x for x in plan.splitlines() if "Exchange" in x or "Window" in x)
+
+
+def test_merging_gathers_candidates_once(spark, sf_dir):
+    """Readings of single words take part in no exchange, and the vote inside a line is that of the rows."""
+    plan = registry.QUERIES["win_11_merge_suggestions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") <= 2 and "pos#" not in plan
+    rng = random.Random(9)
+    line = lambda: " ".join("x" if rng.random() < 0.4 else w for w in "abcdef"[: rng.randint(4, 6)])
+    rows = [(k, c, rng.choice(("m", "n", "o", None)), rng.choice(("", "v")), line(), c == k % 3) for k in range(300) for c in range(rng.randint(1, 7))]
+    df = spark.createDataFrame(rows, "k long, cand_ord int, model_name string, variant string, text string, is_chosen boolean")
+    won = {}
+    for r in reconcile.vote(reconcile.align(df, ["k"]), ["k"]).orderBy("k", "pos").collect():
+        won.setdefault(r.k, []).append(r.text)
+    chosen = {r[0]: r[4] for r in rows if r[5]}
+    want = {k: " ".join(w) for k, w in won.items() if " ".join(w) != chosen[k]}
+    got = {r.k: (r.source_text, r.suggestion_text) for r in reconcile.merge_suggestions(df, ["k"]).collect()}
+    assert len(want) > 10 and got == {k: (chosen[k], w) for k, w in want.items()}
