@@ -157,7 +157,7 @@ def test_pipeline_suggestions(spark, sf_dir):
             at += len(token)
 
 
-@pytest.mark.parametrize("name", ["agg_01_compose_lines", "pipe_01_page_lines"])
+@pytest.mark.parametrize("name", ["agg_01_compose_lines", "pipe_01_page_lines", "udf_01_recorded_blocks"])
 def test_words_of_pages_are_not_shuffled(spark, sf_dir, name):
     """Rows of single words are several times the size of their texts."""
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
