@@ -1,6 +1,7 @@
 """Scans, the page pipeline, sinks, resilience and run outcomes on small fixtures."""
 
 import os
+import random
 import zlib
 from collections import OrderedDict
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import digests, images, results
+from quire.operators import lines as line_ops
 from quire.operators import order, pages, resilience, review
 from quire.plans import further
 from quire.sources import docx, pdf, png, scans, sinks
@@ -141,6 +143,22 @@ def test_page_pipeline_takes_plug_ins(spark):
     assert got == {(1, 0): "a", (1, 1): "a", (3, 0): "pdf_text_layer"}
 
 
+def test_assembling_makes_no_failures(spark):
+    """Pages fail by their layout and their engines; lines that a plug-in leaves out afterwards make no empty page."""
+    some = _pipeline(spark, pages.Ports(merge=None, assemble=lambda lines: lines.filter("text != ''")))
+    assert sorted((r.page_no, r.error_type) for r in some.failures.collect()) == [(2, "IngestError"), (4, "EmptyPage"), (5, "EngineError")]
+    assert "MapInArrow" not in some.failures._jdf.queryExecution().executedPlan().toString()
+
+
+def test_agreement_within_a_row(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice(("a b", " a  b", "c", "", None))) for k in range(400) for _ in range(rng.randint(1, 4))]
+    df = spark.createDataFrame(rows, "k long, text string")
+    want = {r.k: r.agreement for r in line_ops.agreement(df, ["k"]).collect()}
+    assert len(set(want.values())) == 4
+    assert {r.k: r.t for r in df.groupBy("k").agg(F.collect_list(F.struct("text")).alias("a")).select("k", line_ops.tier(F.transform("a", lambda c: c["text"])).alias("t")).collect()} == want
+
+
 def test_retries(spark):
     calls = [(1, 0, False, None, "x"), (1, 1, True, 5, None), (2, 0, False, None, "x"), (2, 1, False, None, "y"), (2, 2, True, 9, None), (3, 0, True, 7, None), (3, 1, True, 8, None)]
     got = resilience.retried(spark.createDataFrame(calls, "k int, attempt int, ok boolean, value int, error string"), ["k"]).orderBy("k").collect()

@@ -164,6 +164,13 @@ def test_words_of_pages_are_not_shuffled(spark, sf_dir, name):
     assert "block_idx" not in "".join(x for x in plan.splitlines() if "Exchange" in x or "Window" in x)
 
 
+@pytest.mark.parametrize("name, reads", [("pipe_01_page_failures", 0), ("pipe_01_clean_pages", 0), ("pipe_01_page_lines", 1), ("udf_04_plug_in_choice", 1), ("udf_05_assemble", 1)])
+def test_candidates_are_made_once(spark, sf_dir, name, reads):
+    """Failures come from the layout and the engines' runs; lines and their agreement from one reading of the pages."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == reads
+
+
 def test_merging_gathers_candidates_once(spark, sf_dir):
     """Readings of single words take part in no exchange, and the vote inside a line is that of the rows."""
     plan = registry.QUERIES["win_11_merge_suggestions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
