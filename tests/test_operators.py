@@ -107,6 +107,23 @@ def test_readings(spark):
     assert reconcile.script_aware(greek, KEY).first().cand_ord == 1
 
 
+def test_flags_of_lines(spark, monkeypatch):
+    """Line by line, in tasks that forget, and by a join of tokens, flags are the same; the first shuffles no lines."""
+    words = ["alpha", "Alpha,", "ἀρχῇ", "\u03b1\u0313ρχη", "ΛΟΓΟΣ", "λόγος.", "...", "«x»", "é", "e\u0301", "İ", "straße", "zz\x1cq", "n\xa0m", "\u2003", "😀b", ""]
+    rng = random.Random(4)
+    rows = [(f"l{k}", rng.choice(("grc", "en", "xx", None)), None if k % 41 == 0 else rng.choice((" ", "\t ", "\u3000")).join(rng.choices(words, k=rng.randint(0, 9)))) for k in range(300)]
+    lines_ = spark.createDataFrame(rows, "line_id string, script string, text string")
+    lexicon = spark.createDataFrame([("grc", 0, "αρχη"), ("grc", 1, "αρχη"), ("grc", 0, "λόγος"), ("en", 0, "Alpha"), ("en", 0, "é"), ("en", 2, "q"), ("en", 0, None)], "lexicon string, layer int, form string")
+    want = sorted(map(str, suggest.lexicon_flags(suggest.token_spans(lines_), lexicon).collect()))
+    assert len(want) > 100
+    assert sorted(map(str, suggest.line_flags(lines_, lexicon, 0).collect())) == want
+    found = suggest.line_flags(lines_, lexicon)
+    assert sorted(map(str, found.collect())) == want and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(suggest, "MOST_KNOWN", 2)
+    assert sorted(map(str, suggest.line_flags(lines_, lexicon).collect())) == want
+    assert suggest.line_flags(lines_, lexicon.limit(0)).count() == 0
+
+
 def test_suggestions_never_change_what_was_read(spark):
     cases = [
         ("abc def", "def", "xyz", True, 4, 7, "abc xyz"), ("abc def", "def", "xyz", False, 4, 7, "abc def"), ("zz abc", "abc", "x", True, 0, 3, "zz x"),

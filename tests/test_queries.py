@@ -171,6 +171,17 @@ def test_candidates_are_made_once(spark, sf_dir, name, reads):
     assert plan.count("MapInArrow") == reads
 
 
+@pytest.mark.parametrize("name", ["pipe_01_page_failures", "pipe_01_clean_pages", "udf_04_plug_in_choice", "udf_05_assemble", "pipe_01_suggestions"])
+def test_pages_are_joined_after_texts_are_split(spark, sf_dir, name):
+    """No join of pages lies below what splits a text, so that whole texts aren't shuffled by page."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    for k, line in enumerate(plan):
+        if "Generate posexplode(split(" in line:
+            below = next((j for j in range(k + 1, len(plan)) if depth[j] <= depth[k]), len(plan))
+            assert not any("Join" in x for x in plan[k:below])
+
+
 def test_merging_gathers_candidates_once(spark, sf_dir):
     """Readings of single words take part in no exchange, and the vote inside a line is that of the rows."""
     plan = registry.QUERIES["win_11_merge_suggestions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
