@@ -2,20 +2,24 @@
 
 The model knows every word of the training texts: a word's probability is its
 count plus one over all counts plus one for each word and one for the unknown.
-On top of that, n-grams that make up a share of at least NGRAM_SHARE of the
-training tokens, of words with a share of at least WORD_SHARE, are smoothed by
-absolute discounting.  Shares bound the automaton whatever the input: at most
-1 / WORD_SHARE words and 1 / NGRAM_SHARE n-grams of each order, so it can be
-broadcast.  All counts cover all training texts.
+On top of that, all n-grams that occur twice in training, however large it is,
+are smoothed by absolute discounting.  What occurs once leaves its mass to the
+lower orders.
 
 Contexts are states.  A state's arcs are its n-grams; its failure arc leads to
-the context without its first word, at the cost of the mass that is left.  A
-text is read once from left to right: the state follows an arc if the next
-word has one, or else fails until one has.  At words outside the automaton it
-falls to the root; their counts are looked up in a join by word, as bytes of
-hashes in buckets, and added.
-
-Words are told apart by 64-bit hashes.
+the context without its first word, at the cost of the mass that is left.  The
+automaton isn't held anywhere as a whole.  States of words with a share of at
+least WORD_SHARE of the training tokens and of pairs of them with a share of at
+least NGRAM_SHARE are broadcast, which are 1 / WORD_SHARE words and
+1 / NGRAM_SHARE pairs at most; their arcs are dealt by n-gram and their failure
+weights added up over all buckets, so that no task holds all that follows a
+frequent word.  Other states lie in one bucket with their arcs.  A part of the
+texts asks the buckets for the counts of its own n-grams, which at the same time
+are what it adds to them, and follows its texts with the arcs and failure
+weights that it gets back.
+
+Words are told apart by 64-bit hashes; after a context, by 48 of these, or by 64
+less the bits that number the frequent states.
 """
 
 from __future__ import annotations
@@ -26,17 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bytestools import U64, slices, word_hashes
+from quire.llm.bytestools import U64, mixed, slices, word_hashes
 from quire.llm.common import cut, table
 
-#: Least shares of the training tokens; their inverses bound the words and the n-grams of an order.
+#: Least shares of the training tokens of states that are broadcast; their inverses bound the words and the n-grams of an order. The others are looked up.
 WORD_SHARE, NGRAM_SHARE, ORDER, DISCOUNT = 1e-5, 4e-6, 3, 0.5
 #: Text bytes to a bucket of word or n-gram counts, and values that a task gathers before it sends them.
 BUCKET_BYTES, FLUSH = 16 << 20, 1 << 21
+#: An n-gram counts from so many occurrences in training on, whatever the input; and frequent contexts whose sums are added up in one group.
+LEAST, STATES = 2, 1 << 13
 BLOBS = "bucket long, keys binary, counts binary"
 
 
@@ -106,6 +111,10 @@ class Automaton:
         self.back = [np.zeros(1 + self.width)]
         self.fail = [np.zeros(1 + self.width, np.int64)]
 
+    @property
+    def state_bits(self) -> int:
+        return sum(map(len, self.keys)).bit_length()
+
     def ids(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word and end of each text its number or -1, the text it is in, and all words' hashes (0 for ends)."""
         h, text = word_hashes(data, at)
@@ -178,130 +187,229 @@ class Automaton:
         return arcs, weight, following.tolist(), back.tolist(), fail.tolist()
 
 
-def _scoring(model):
-    names = ["doc_id", "text_key", "held_out", "n_tokens", "n_rare", "base", "score"]
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as bytes, compressed byte by byte of all, so that leading zeros take no room."""
+    if not len(x):
+        return b""
+    planes = np.ascontiguousarray(x.astype(U64).view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Automaton = model.value
-        arcs, weight, following, back, fail = m.tables()
-        get, width = arcs.get, m.width
-        for rows, data, at in slices(batches, "bytes"):
-            ids, text, _ = m.ids(data, at)
-            count = len(at) - 1
-            rare = np.bincount(text, ids < 0, count).astype(np.int64)
-            tokens = np.bincount(text, minlength=count)
-            base = np.bincount(text, np.where(ids >= 0, m.log_counts[np.maximum(ids, 0)], 0.0), count)
-            scores, total, state = [], 0.0, 1
-            for w in ids.tolist():
-                if w < 0:
-                    while state:
-                        total += back[state]
-                        state = fail[state]
-                    continue
-                arc = get(state * width + w)
-                while arc is None:
-                    total += back[state]
-                    state = fail[state]
-                    arc = get(state * width + w)
-                total += weight[arc]
-                state = following[arc]
-                if not w:
-                    scores.append(total)
-                    total, state = 0.0, 1
-            columns = [*(rows.column(c) for c in names[:3]), pa.array(tokens), pa.array(rare), pa.array(base), pa.array(np.array(scores))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return run
+def _unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, U64)
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(U64).ravel()
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Sorted numbers as differences; np.cumsum brings them back."""
+    return np.diff(x, prepend=U64(0))
 
 
-def _rare_words(model, bits: int):
-    """Words outside the automaton by flush and bucket, each of a document once, with the document's place in the flush; and each flush's documents.
+class Grams:
+    """What a part's texts ask of the counts: their rare words, and their bigrams and trigrams as contexts with the words that follow.
 
-    A flush is named by its partition and number, so a task that runs again
-    sends the same.  The documents' rows have negative buckets.
+    A context in the automaton is frequent, so its n-grams are dealt by
+    themselves, as keys with the context's state at their end.  All that follows
+    another context is in one bucket.
     """
-    def flush(found, ids, texts, name):
-        key, doc = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))) if len(key) else np.empty(0, np.int64)
-        times = np.diff(np.append(new, len(key)))
-        key, doc = key[new], doc[new].astype(np.uint32)
-        bucket = (key >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-        out = [(-1 - name % 64, name, np.concatenate(ids).tobytes(), np.concatenate(texts).tobytes(), b"")]
-        for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(bucket)) + 1) if len(key) else []:
-            out.append((int(bucket[part[0]]), name, key[part].tobytes(), doc[part].tobytes(), times[part].astype(np.uint32).tobytes()))
-        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)), *(pa.array([r[k] for r in out], pa.binary()) for k in (2, 3, 4))], names=["bucket", "flush", "keys", "places", "times"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Automaton = model.value
-        found, ids, texts, size, docs, name = [], [], [], 0, 0, TaskContext.get().partitionId() << 24
-        for rows, data, at in slices(batches, "bytes"):
-            number, text, h = m.ids(data, at)
-            rare = number < 0
-            found.append((h[rare], text[rare] + docs))
-            ids.append(rows.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False))
-            texts.append(rows.column("text_key").to_numpy(zero_copy_only=False))
+    def __init__(self, m: Automaton, batches: list[pa.RecordBatch]):
+        found, docs = [], 0
+        for _, data, at in slices(iter(batches), "bytes"):
+            ids, text, h = m.ids(data, at)
+            found.append((ids, text + docs, h))
             docs += len(at) - 1
-            size += int(rare.sum())
-            if size >= FLUSH:
-                yield flush(found, ids, texts, name)
-                found, ids, texts, size, docs, name = [], [], [], 0, 0, name + 1
-        if size:
-            yield flush(found, ids, texts, name)
+        self.docs = docs
+        self.ids, self.text, self.h = (np.concatenate([f[k] for f in found]) for k in range(3))
+        ids, h = self.ids, self.h
+        before = lambda x, start: np.concatenate(([start], x[:-1])).astype(x.dtype)
+        # Every text follows an end, whose hash is 0.
+        last = before(h, 0)
+        self.later = np.flatnonzero(before(ids, 0) != 0)
+        self.at = np.concatenate((np.arange(len(ids)), self.later))
+        # States number contexts from 1 on: words, then pairs.
+        state = np.concatenate((before(ids, 0), before(m.states(ids, 2), -1)[self.later] - 1))
+        rare = mixed(before(last, 0)[self.later] * U64(0x9E3779B97F4A7C15) + last[self.later])
+        context = np.concatenate((last, rare))
+        self.usual = state >= 0
+        self.state = state[self.usual]
+        tail = U64(m.state_bits)
+        key = mixed(h[self.at[self.usual]] + self.state.astype(U64) * U64(0xD6E8FEB86659FD93)) >> tail << tail | self.state.astype(U64)
+        self.keys, self.key_of = np.unique(key, return_inverse=True)
+        # The others, sorted by context and by 48 bits of the word that follows.
+        context, word = context[~self.usual], h[self.at[~self.usual]] >> U64(16)
+        order = np.lexsort((word, context))
+        context, word = context[order], word[order]
+        opens = np.diff(context, prepend=context[:1] + U64(1)) != 0
+        new = opens | (np.diff(word, prepend=word[:1]) != 0)
+        self.contexts, self.follow = context[opens], word[new]
+        self.sizes = np.diff(np.append(np.flatnonzero(opens[new]), len(self.follow)))
+        self.gram_of = np.empty(len(order), np.int64)
+        self.gram_of[order] = np.cumsum(new) - 1
+        self.words, self.word_of = np.unique(h[ids < 0], return_inverse=True)
+
+    def requests(self, part: int, learned: np.ndarray, bits: int) -> pa.RecordBatch:
+        """A row for each bucket; learned says which texts are counted."""
+        of = lambda which: learned[self.text[which]]
+        count = lambda place, which, n: np.bincount(place, of(which), n).astype(np.int64)
+        keys = count(self.key_of, self.at[self.usual], len(self.keys))
+        grams, words = count(self.gram_of, self.at[~self.usual], len(self.follow)), count(self.word_of, self.ids < 0, len(self.words))
+        edges = np.arange(1, 1 << bits).astype(U64) << U64(64 - bits) if bits else np.empty(0, U64)
+        cuts = lambda x: [0, *np.searchsorted(x, edges).tolist(), len(x)]
+        ends = np.concatenate(([0], np.cumsum(self.sizes)))
+        rows = []
+        for b, (k, c, w) in enumerate(zip(*(zip(x, x[1:]) for x in map(cuts, (self.keys, self.contexts, self.words))))):
+            if k[0] < k[1] or c[0] < c[1] or w[0] < w[1]:
+                k, c, g, w = slice(*k), slice(*c), slice(ends[c[0]], ends[c[1]]), slice(*w)
+                rows.append((_steps(self.keys[k]), keys[k], _steps(self.contexts[c]), self.sizes[c], self.follow[g], grams[g], _steps(self.words[w]), words[w], b))
+        columns = [pa.array([r[8] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), *(pa.array([_packed(r[k]) for r in rows], pa.binary()) for k in range(8))]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "part", *ASKED])
+
+
+#: A part's keys, contexts and rare words in a bucket with their counts, and the answers: counts of all parts, and of each context all, those of n-grams that count, and how many these are.
+ASKED = ["keys", "key_counts", "contexts", "sizes", "follow", "counts", "words", "word_counts"]
+ANSWERED = ["key_counts", "counts", "totals", "kept", "kinds", "word_counts"]
+
+
+def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows sorted by part, part by part."""
+    held, last = [], None
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if held and part[a] != last:
+                yield last, held
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = int(part[a])
+    if held:
+        yield last, held
+
+
+def _asking(model, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _whole_parts(batches):
+            learned = ~np.concatenate([r.column("held_out").to_numpy(zero_copy_only=False) for r in rows])
+            yield Grams(model.value, rows).requests(part, learned, bits)
 
     return run
 
 
-def _look_up(refs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-    """For each flush's documents with rare words in a bucket: sum of log10(count + 1), how many are known, how many there are; documents' rows pass."""
-    known = np.frombuffer(b"".join(counts["keys"]), U64)
-    size = np.frombuffer(b"".join(counts["counts"]), np.int64)
-    out = []
-    for r in refs.itertuples(index=False):
-        if r.bucket < 0:
-            out.append((r.flush, True, r.keys, r.places, b"", b""))
-            continue
-        key, place, times = np.frombuffer(r.keys, U64), np.frombuffer(r.places, np.uint32), np.frombuffer(r.times, np.uint32)
-        spot = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-        c = np.where(known[spot] == key, size[spot], 0) if len(known) else np.zeros(len(key))
-        own, place = np.unique(place, return_inverse=True)
-        logs, seen, rare = np.bincount(place, np.log10(c + 1) * times), np.bincount(place, (c > 0) * times), np.bincount(place, times)
-        out.append((r.flush, False, own.astype(np.uint32).tobytes(), logs.tobytes(), seen.astype(np.uint32).tobytes(), rare.astype(np.uint32).tobytes()))
-    return pd.DataFrame(out, columns=["flush", "is_docs", "a", "b", "c", "d"])
-
-
-def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sums of one flush's documents over all buckets."""
-    docs = pdf[pdf["is_docs"]].iloc[0]
-    ids, texts = np.frombuffer(docs["a"], np.int64), np.frombuffer(docs["b"], np.int64)
-    rows = pdf[~pdf["is_docs"]]
-    place = np.frombuffer(b"".join(rows["a"]), np.uint32)
-    total = lambda c, kind: np.bincount(place, np.frombuffer(b"".join(rows[c]), kind), len(ids))
-    out = pd.DataFrame({"doc_id": ids, "text_key": texts, "logs": total("b", np.float64), "known": total("c", np.uint32).astype(np.int64), "rare": total("d", np.uint32).astype(np.int64)})
-    return out[out["rare"] > 0]
+def _added(keys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of keys (the last sorts first), the sum of each one's counts, and each given row's place among them."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], np.bincount(place, counts, int(new.sum())).astype(np.int64), place
+
+
+def _answering(state_bits: int):
+    """The answers to a bucket's parts; and by ranges of states, as parts below 0, what the bucket has of frequent contexts."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["bucket"].iloc[0])
+        each = {c: [_unpacked(x) for x in pdf[c]] for c in ASKED}
+        for c in ("keys", "contexts", "words"):
+            each[c] = [np.cumsum(x, dtype=U64) for x in each[c]]
+        ends = {c: np.cumsum([len(x) for x in each[c]]) for c in ("keys", "contexts", "follow", "words")}
+        all_of = {c: np.concatenate(x) for c, x in each.items()}
+        first, key_counts, key_of = _added([all_of["keys"]], all_of["key_counts"])
+        _, word_counts, word_of = _added([all_of["words"]], all_of["word_counts"])
+        context = np.repeat(all_of["contexts"], all_of["sizes"].astype(np.int64))
+        gram, counts, gram_of = _added([all_of["follow"], context], all_of["counts"])
+        # Contexts of the distinct n-grams are sorted, so each one's sums are runs.
+        heads = np.flatnonzero(np.diff(context[gram], prepend=context[gram][:1] + U64(1)) != 0)
+        sums = lambda x: np.add.reduceat(x, heads) if len(heads) else x
+        own = np.searchsorted(context[gram][heads], all_of["contexts"])
+        good = counts >= LEAST
+        totals, kept, kinds = (sums(x)[own] for x in (counts, counts * good, good.astype(np.int64)))
+        parts = lambda x, c: [_packed(p) for p in np.split(x, ends[c][:-1])]
+        out = {"part": pdf["part"].to_numpy(), "bucket": bucket, "key_counts": parts(key_counts[key_of], "keys"), "counts": parts(counts[gram_of], "follow")}
+        out |= {"totals": parts(totals, "contexts"), "kept": parts(kept, "contexts"), "kinds": parts(kinds, "contexts"), "word_counts": parts(word_counts[word_of], "words")}
+        good = key_counts >= LEAST
+        state, place = np.unique((all_of["keys"][first[good]] & U64((1 << state_bits) - 1)).astype(np.int64), return_inverse=True)
+        kept, kinds = np.bincount(place, key_counts[good], len(state)).astype(np.int64), np.bincount(place, minlength=len(state))
+        cuts = np.flatnonzero(np.diff(state // STATES)) + 1
+        more = [(-1 - int(s[0]) // STATES, bucket, _packed(s), _packed(k), _packed(n), b"", b"", b"") for s, k, n in zip(*(np.split(x, cuts) for x in (state, kept, kinds))) if len(s)]
+        return pd.concat([pd.DataFrame(out), pd.DataFrame(more, columns=["part", "bucket", *ANSWERED])])
+
+    return run
+
+
+def _of_states(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All buckets' sums of frequent contexts."""
+    state, kept, kinds = (np.concatenate([_unpacked(x) for x in pdf[c]]).astype(np.int64) for c in ANSWERED[:3])
+    own, place = np.unique(state, return_inverse=True)
+    return pd.DataFrame({"state": own, "kept": np.bincount(place, kept).astype(np.int64), "kinds": np.bincount(place, kinds).astype(np.int64)})
+
+
+def _left(total: np.ndarray, kept: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """A context's failure weight: the mass that its arcs leave."""
+    return 1 - np.where(total > 0, (kept - DISCOUNT * kinds) / np.maximum(total, 1), 0.0)
+
+
+def _scoring(model):
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        m, kept, kinds = model.value
+        batches = rows.to_batches()
+        g = Grams(m, batches)
+        answers = answers.sort_by("bucket")
+        got = {c: np.concatenate([_unpacked(x) for x in answers.column(c).to_pylist()]).astype(np.int64) for c in ANSWERED}
+        if any(len(got[c]) != len(x) for c, x in (("key_counts", g.keys), ("counts", g.follow), ("totals", g.contexts), ("word_counts", g.words))):
+            raise ValueError("the documents' partitions changed between two reads")
+        # Arcs and failure weights of the contexts of each token; no arc where an n-gram doesn't count.
+        count, total, left = np.empty(len(g.at)), np.empty(len(g.at)), np.empty(len(g.at))
+        of_states = np.concatenate(m.grams)
+        count[g.usual], total[g.usual] = got["key_counts"][g.key_of], of_states[g.state]
+        left[g.usual] = _left(of_states, kept, kinds)[g.state]
+        context = np.repeat(np.arange(len(g.contexts)), g.sizes)[g.gram_of]
+        count[~g.usual], total[~g.usual] = got["counts"][g.gram_of], got["totals"][context]
+        left[~g.usual] = _left(got["totals"], got["kept"], got["kinds"])[context]
+        arc = np.where(count >= LEAST, (count - DISCOUNT) / np.maximum(total, 1), 0.0)
+        rare, n = g.ids < 0, len(g.ids)
+        logs = np.where(rare, 0.0, m.log_counts[np.maximum(g.ids, 0)])
+        logs[rare] = np.log10(got["word_counts"][g.word_of] + 1)
+        p = arc[:n] + left[:n] * np.power(10.0, logs - m.total)
+        p[g.later] = arc[n:] + left[n:] * p[g.later]
+        known = ~rare if m.log_counts[0] > 0 else g.ids > 0  # without training, not even the end is known
+        known[rare] = got["word_counts"][g.word_of] > 0
+        sums = lambda x: pa.array(np.bincount(g.text, x, g.docs))
+        whole = lambda x: pa.array(np.bincount(g.text, x, g.docs).astype(np.int64))
+        columns = [rows.column("doc_id"), rows.column("held_out"), whole(None), whole(known), sums(logs - m.total), sums(np.log10(p))]
+        return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
 
 
 def train(texts: DataFrame, bits: int, order: int = ORDER, word_share: float = WORD_SHARE, ngram_share: float = NGRAM_SHARE, discount: float = DISCOUNT) -> tuple[Automaton, DataFrame, int]:
-    """The automaton, all words' counts by bucket, and how many tokens texts (bytes) have."""
+    """The automaton of the frequent words and n-grams, all words' counts by bucket, and how many tokens texts (bytes) have."""
     counts = texts.mapInArrow(_counting(bits, lambda data, at: word_hashes(data, at)[0], False), BLOBS)
     counts = cut(counts.groupBy("bucket").applyInPandas(_merge, BLOBS + ", types long, tokens long"))
     types, words_in = counts.agg(F.sum("types"), F.sum("tokens")).first()
     ends = texts.count()
     tokens, types = (words_in or 0) + ends, (types or 0) + (ends > 0)
-    frequent = counts.groupBy("bucket").applyInPandas(_frequent(max(2, word_share * tokens)), "key long, count long").toPandas()
+    frequent = counts.groupBy("bucket").applyInPandas(_frequent(max(LEAST, word_share * tokens)), "key long, count long").toPandas()
     words = frequent["key"].to_numpy().view(np.int64).astype(np.int64).view(U64)
     by_hash = np.argsort(words)
     model = Automaton(words[by_hash], np.concatenate(([ends], frequent["count"].to_numpy()[by_hash])).astype(np.int64), tokens, types)
     for _ in range(2, order + 1):
         sent = texts.sparkSession.sparkContext.broadcast(model)
         keys = texts.mapInArrow(_counting(bits, lambda data, at, sent=sent: sent.value.candidates(data, at), True), BLOBS)
-        kept = keys.groupBy("bucket").applyInPandas(_frequent(max(2, ngram_share * tokens)), "key long, count long").toPandas().sort_values("key")
+        kept = keys.groupBy("bucket").applyInPandas(_frequent(max(LEAST, ngram_share * tokens)), "key long, count long").toPandas().sort_values("key")
         model.add(kept["key"].to_numpy().astype(np.int64), kept["count"].to_numpy().astype(np.int64), discount)
     return model, counts.select("bucket", "keys", "counts"), tokens
 
 
-def score(docs: DataFrame, training, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, training) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     training is a condition on docs: the rows to learn from; the others are held
@@ -310,26 +418,25 @@ def score(docs: DataFrame, training, order: int = ORDER) -> DataFrame:
     mix.  Other columns are ignored.  Without training texts all words are
     unknown; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    docs = docs.select("doc_id", text.alias("bytes"), (~training).alias("held_out")).withColumn("text_key", F.xxhash64("bytes"))
-    size = docs.agg(F.sum(F.length("bytes").cast("long"))).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, size) / BUCKET_BYTES)))
-    model, counts, tokens = train(docs.filter("not held_out").select("bytes"), bits, order)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.mapInArrow(_scoring(sent), "doc_id long, text_key long, held_out boolean, n_tokens long, n_rare long, base double, score double")
-    refs = docs.select("doc_id", "text_key", "bytes").mapInArrow(_rare_words(sent, bits), "bucket long, flush long, keys binary, places binary, times binary")
-    found = refs.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInPandas(_look_up, "flush long, is_docs boolean, a binary, b binary, c binary, d binary")
-    rare = found.groupBy("flush").applyInPandas(_by_document, "doc_id long, text_key long, logs double, known long, rare long")
-    rare = rare.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).agg(*(F.sum(c).alias(c) for c in ("logs", "known", "rare")))
-    both = own.join(rare, (F.coalesce(own["doc_id"], F.lit(-(1 << 63))) == rare["_id"]) & (own["text_key"] == rare["_text"]), "left")
-    # Rows that repeat have been added up.
-    each = F.coalesce(F.col("logs") * (F.col("n_rare") / F.col("rare")), F.lit(0.0))
-    known = F.coalesce((F.col("known") * F.col("n_rare") / F.col("rare")).cast("long"), F.lit(0))
-    ends = F.lit(0 if tokens else 1)  # without training, not even the end is known
-    return both.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_tokens") - F.col("n_rare") + known - ends).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + each - F.col("n_tokens") * F.lit(model.total)).alias("base_score"), (F.col("score") + each - F.col("n_rare") * F.lit(model.total)).alias("score"),
-    )
+    docs = docs.select("doc_id", text.alias("bytes"), (~training).alias("held_out"))
+    # A part is what a task asks for at once: rows of one partition, chosen by hash, so that their order doesn't matter.
+    sizes = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.length("bytes").cast("long")).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    bits = max(0, math.ceil(math.log2(max(1, sizes[0] or 0) / BUCKET_BYTES)))
+    split = max(1, math.ceil((sizes[1] or 0) / (4 * FLUSH)))
+    texts = docs.withColumn("part", F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64("doc_id", "bytes"), F.lit(split)))
+    model, tokens = train(docs.filter("not held_out").select("bytes"), bits, 2, WORD_SHARE, NGRAM_SHARE)[::2]
+    sent = spark.sparkContext.broadcast(model)
+    asked = texts.sortWithinPartitions("part").mapInArrow(_asking(sent, bits), "bucket long, part long, " + ", ".join(f"{c} binary" for c in ASKED))
+    answers = cut(asked.groupBy("bucket").applyInPandas(_answering(model.state_bits), "part long, bucket long, " + ", ".join(f"{c} binary" for c in ANSWERED)))
+    found = answers.filter("part < 0").groupBy("part").applyInPandas(_of_states, "state long, kept long, kinds long").toPandas()
+    kept, kinds = np.zeros((2, sum(map(len, model.keys))), np.int64)
+    kept[found["state"]], kinds[found["state"]] = found["kept"], found["kinds"]
+    whole = spark.sparkContext.broadcast((model, kept, kinds))
+    scored = texts.groupBy("part").cogroup(answers.filter("part >= 0").groupBy("part"))
+    out = scored.applyInArrow(_scoring(whole), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -85,6 +85,27 @@ def test_lm_score_by_recursion(spark, speech, monkeypatch, bucket, flush):
         assert got[i].base_score == pytest.approx(base)
 
 
+@pytest.mark.parametrize("word_share, ngram_share", [(0.02, 0.02), (0.5, 0.5)])
+def test_lm_score_keeps_n_grams_below_the_shares(spark, speech, monkeypatch, word_share, ngram_share):
+    """Shares say which contexts are broadcast; n-grams that occur twice count all the same."""
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", 600)
+    monkeypatch.setattr(lmscore, "FLUSH", 128)
+    monkeypatch.setattr(lmscore, "WORD_SHARE", word_share)
+    monkeypatch.setattr(lmscore, "NGRAM_SHARE", ngram_share)
+    df = spark.createDataFrame(speech, "doc_id long, text string").repartition(3)
+    model = Backoff([t for i, t in speech if i % 7 != 2])
+    got = {r.doc_id: r.score for r in lmscore.score(df, F.col("doc_id") % 7 != 2).collect()}
+    assert got == {i: pytest.approx(model.score(t)) for i, t in speech}
+
+
+def test_lm_score_of_rare_words_in_many_tokens(spark):
+    """Three occurrences count among 600,000 tokens as they do among ten."""
+    rows = [(k, "a " * 200_000) for k in range(3)] + [(k, "x y z") for k in range(3, 6)]
+    model = Backoff([t for _, t in rows])
+    got = lmscore.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).filter("doc_id > 2").collect()
+    assert [r.score for r in got] == [pytest.approx(model.score("x y z"))] * 3
+
+
 def test_suffix_dedup_in_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(suffixdedup, "BUCKET_BYTES", 512)
     monkeypatch.setattr(suffixdedup, "FLUSH_KEYS", 200)
