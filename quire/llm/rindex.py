@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from quire.llm.bytestools import U64
+from quire.llm.bytestools import U64, eights
 
 #: Symbols that an index can hold: two ranks and a place share 64 bits while it is built.
 MOST = 1 << 20
@@ -63,44 +63,61 @@ class RunIndex:
         return np.repeat(self.starts + self.lengths, self.lengths + 1) - np.arange(self.n)
 
     def _sorted(self, longest: int) -> np.ndarray:
-        """Places in suffix order, by doubling the length that is sorted."""
+        """Places in suffix order, by doubling the length that is sorted; only places that still tie are sorted again."""
         n = self.n
-        place = np.arange(n, dtype=U64)
-        key = np.zeros(n, np.int64)
-        for j in range(4):
-            part = np.zeros(n, np.int64)
-            part[: n - j] = self._text[j:]
-            key = (key << 9) | np.where(self._left >= j, part, 0)
-        depth, rank = 4, None
-        while True:
-            packed = np.sort((key.astype(U64) << U64(20)) | place)
-            order = (packed & U64(MOST - 1)).astype(np.int64)
+        # Symbols are numbered anew, so that as many as possible share a key with a place.
+        used = np.bincount(self._text, minlength=257) > 0
+        used[0] = True
+        bits = int(used.sum() - 1).bit_length()
+        key, depth = (np.cumsum(used) - 1)[self._text].astype(U64), 1
+        while bits and depth < min(44 // bits, longest):
+            # What follows the first symbols of a key are the first ones of another, or nothing beyond an end.
+            more = min(depth, min(44 // bits, longest) - depth)
+            then = np.zeros(n, U64)
+            then[: n - depth] = key[depth:] >> U64(bits * (depth - more))
+            then[self._left < depth] = 0
+            key = (key << U64(bits * more)) | then
+            depth += more
+        packed = np.sort((key << U64(20)) | np.arange(n, dtype=U64))
+        order = (packed & U64(MOST - 1)).astype(np.int64)
+        high = packed >> U64(20)
+        new = np.ones(n, bool)
+        new[1:] = high[1:] != high[:-1]
+        # A place's rank is the row where those that tie with it begin.
+        rank, rows = np.empty(n, np.int64), np.arange(n)
+        rank[order] = np.maximum.accumulate(np.where(new, rows, 0))
+        while depth < longest:
+            # Rows of groups of several; a group stays together in all that follows.
+            tied = ~new
+            tied[:-1] |= ~new[1:]
+            rows, new = rows[tied], new[tied]
+            if not len(rows):
+                break
+            place = order[rows]
+            # Ranks and places stay below 2 ** 20 each, with room for 0 as "nothing follows".
+            then = np.where(self._left[place] >= depth, rank[np.minimum(place + depth, n - 1)] + 1, 0)
+            packed = np.sort((((rank[place] << 21) | then) << 20 | place).view(U64))
+            place = (packed & U64(MOST - 1)).astype(np.int64)
             high = packed >> U64(20)
-            new = np.ones(n, bool)
             new[1:] = high[1:] != high[:-1]
-            if depth >= longest or new.all():
-                return order
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
-            then = np.zeros(n, np.int64)
-            then[: n - depth] = rank[depth:] + 1
-            # Ranks and places stay below 2 ** 20 each, with room for 0 as "nothing follows".
-            key = (rank << 21) | np.where(self._left >= depth, then, 0)
+            order[rows] = place
+            rank[place] = np.maximum.accumulate(np.where(new, rows, 0))
             depth *= 2
+        return order
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Symbols that the suffixes at places a and b share; end signs differ."""
+        """Symbols that the suffixes at places a and b share, compared eight at a time; end signs differ."""
         most = np.minimum(self._left[a], self._left[b])
         out = np.zeros(len(a), np.int64)
+        # An end sign's byte doesn't matter, as no comparison goes beyond most.
+        words = eights(np.append(self._text.astype(np.uint8), np.zeros(8, np.uint8)))
         open_ = np.flatnonzero(most > 0)
-        text = self._text
         while len(open_):
             at = out[open_]
-            same = text[a[open_] + at] == text[b[open_] + at]
-            out[open_[same]] += 1
-            open_ = open_[same]
-            open_ = open_[out[open_] < most[open_]]
-        return out
+            x = words[a[open_] + at] ^ words[b[open_] + at]
+            out[open_] += np.where(x == 0, 8, np.bitwise_count((x & (~x + U64(1))) - U64(1)) >> 3)
+            open_ = open_[(x == 0) & (at + 8 < most[open_])]
+        return np.minimum(out, most)
 
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """Streamed in text order: the symbols that each place's suffix shares with the one in the row before it, and where that one starts."""

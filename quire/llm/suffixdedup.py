@@ -40,6 +40,8 @@ from quire.llm.rindex import MOST, RunIndex
 WIDTH, GRAM = 50, 24
 #: Bytes of text whose keys make up one bucket, about 300,000 keys.
 BUCKET_BYTES = 4 << 20
+#: Bytes of text whose keys are found at once, so that what is gathered on the way fits into a core's cache.
+CACHED = 1 << 16
 #: Keys that a task gathers before it sends them on.
 FLUSH_KEYS = 1 << 20
 #: Symbols of an index; the stretches of a key that have more are indexed in parts that pass on what is new,
@@ -95,7 +97,7 @@ def _gather(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held, number = [], 0, 0
-        for rows, data, at in slices(batches, "bytes"):
+        for rows, data, at in slices(batches, "bytes", CACHED):
             key, good, text = window_keys(data, at)
             turn = good.copy()
             turn[1:] &= (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | ~good[:-1]
@@ -184,18 +186,20 @@ def _stretches(bits: int):
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in slices(batches, "bytes", 1 << 19):
+        for rows, data, at in slices(batches, "bytes", CACHED):
             key, good, text = window_keys(data, at)
             known = np.unique(np.frombuffer(b"".join(k for part in rows.column("keys").to_pylist() for k in part), U64))
             if not len(key) or not len(known):
                 continue
-            spot = np.minimum(np.searchsorted(known, key >> U64(32 - bits)), len(known) - 1)
-            wanted = good & (known[spot] == key >> U64(32 - bits))
-            begin = wanted.copy()
-            begin[1:] &= ~wanted[:-1] | (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-            end = wanted.copy()
-            end[:-1] &= ~wanted[1:] | (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-            begin, end = _pieces(np.flatnonzero(begin), np.flatnonzero(end) + WIDTH)
+            # Runs of places with one key; the keys of their first places are looked up.
+            edge = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+            begin, end = good.copy(), good.copy()
+            begin[1:] &= edge | ~good[:-1]
+            end[:-1] &= edge | ~good[1:]
+            begin, end = np.flatnonzero(begin), np.flatnonzero(end)
+            sent = key[begin] >> U64(32 - bits)
+            wanted = known[np.minimum(np.searchsorted(known, sent), len(known) - 1)] == sent
+            begin, end = _pieces(begin[wanted], end[wanted] + WIDTH)
             lengths = end - begin
             own = text[begin]
             for lo in range(0, len(begin), 20_000):
@@ -289,7 +293,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     size = 0  # symbols of distinct
     for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text_key", "start", "bytes"))):
+        for r in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("key", "doc_id", "text_key", "start", "bytes"))):
             more = 0 if r[4] in distinct else len(r[4]) + 1
             if held and r[0] != held[-1][0] and (size >= INDEX_SYMBOLS // 2 or len(held) >= PART // 2 or carried.parts):
                 yield from finish(held)

@@ -277,3 +277,24 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert all(r.n_chars == len(r.text or "") for r in frame.collect())
     out = corpus_pipeline.run(spark, folder).collect()
     assert {(r.doc_id, r.text) for r in out} <= {(i or None, t) for i, t in want} and all(0 < r.taken <= 2 * r.size for r in out)
+
+@pytest.mark.parametrize("symbols", [1, 2, 5, 90, 256])
+def test_index_sorts_only_ties_again(monkeypatch, symbols):
+    rng, sorted_ = np.random.default_rng(symbols), []
+    strings = [rng.integers(0, symbols, rng.integers(50, 75), np.uint8).tobytes() for _ in range(400)]
+    strings += [strings[k] + strings[k + 1] for k in range(20)]
+    starts = np.concatenate(([0], np.cumsum([len(s) for s in strings])))
+    sort = np.sort
+    monkeypatch.setattr(rindex.np, "sort", lambda x, *a, **b: sorted_.append(len(x)) or sort(x, *a, **b))
+    index = rindex.RunIndex(np.frombuffer(b"".join(strings), np.uint8), starts)
+    monkeypatch.undo()
+    least, at = index.least_owner(np.arange(len(strings))[::-1].copy(), 50), 0
+    owners: dict[bytes, int] = {}
+    for k, s in enumerate(strings):
+        for p in range(len(s) - 49):
+            owners[s[p : p + 50]] = len(strings) - 1 - k
+    for s in strings:
+        assert least[at : at + len(s) + 1].tolist() == [owners[s[p : p + 50]] if p + 50 <= len(s) else -1 for p in range(len(s) + 1)]
+        at += len(s) + 1
+    # All were sorted six times and more before.
+    assert symbols < 5 or sum(sorted_) < 3 * index.n
