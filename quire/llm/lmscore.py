@@ -18,18 +18,21 @@ texts asks the buckets for the counts of its own n-grams, which at the same time
 are what it adds to them, and follows its texts with the arcs and failure
 weights that it gets back.
 
-Words are told apart by 64-bit hashes; after a context, by 48 of these, or by 64
-less the bits that number the frequent states.
+Words are told apart by 64-bit hashes; inside n-grams, frequent words by their
+ranks and others by 48 bits of their hashes.  A part sends its n-grams sorted, as
+steps from one to the next, in rounds by the contexts' last words.
 """
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ from quire.llm.common import cut, table
 WORD_SHARE, NGRAM_SHARE, ORDER, DISCOUNT = 1e-5, 4e-6, 3, 0.5
 #: Text bytes to a bucket of word or n-gram counts, and values that a task gathers before it sends them.
 BUCKET_BYTES, FLUSH = 16 << 20, 1 << 21
+#: N-grams are asked for in so many rounds, each with what follows a share of the words, so that the requests of one are on disk at a time.
+ROUNDS = 4
 #: An n-gram counts from so many occurrences in training on, whatever the input; and frequent contexts whose sums are added up in one group.
 LEAST, STATES = 2, 1 << 13
 BLOBS = "bucket long, keys binary, counts binary"
@@ -53,8 +58,8 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, bits: int, spread: bool = False
     bucket, keys, counts = bucket[order], keys[order], counts[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     heads = bucket[np.concatenate(([0], cuts))] if len(keys) else bucket
-    split = lambda x: pa.array([p.tobytes() for p in np.split(x, cuts)] if len(keys) else [], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), split(keys), split(counts.astype(np.int64))], names=["bucket", "keys", "counts"])
+    split = lambda x, f: pa.array([_packed(f(p)) for p in np.split(x, cuts)] if len(keys) else [], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), split(keys, _steps), split(counts, np.asarray)], names=["bucket", "keys", "counts"])
 
 
 def _counting(bits: int, keys_of, spread: bool):
@@ -73,7 +78,8 @@ def _counting(bits: int, keys_of, spread: bool):
 
 
 def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.frombuffer(b"".join(pdf["keys"]), U64), np.frombuffer(b"".join(pdf["counts"]), np.int64)
+    keys = np.concatenate([np.cumsum(_unpacked(x), dtype=U64) for x in pdf["keys"]])
+    counts = np.concatenate([_unpacked(x) for x in pdf["counts"]]).astype(np.int64)
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     new = np.flatnonzero(np.diff(keys, prepend=keys[:1] + U64(1)) != 0)
@@ -82,7 +88,7 @@ def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     keys, counts = _merged(pdf)
-    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "types": [len(keys)], "tokens": [int(counts.sum())]})
+    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "keys": [_packed(_steps(keys))], "counts": [_packed(counts)], "types": [len(keys)], "tokens": [int(counts.sum())]})
 
 
 def _frequent(least: float):
@@ -101,6 +107,9 @@ class Automaton:
     def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, types: int):
         """words: sorted hashes of the frequent words; counts: the end's count, then theirs."""
         self.words, self.width = words, len(words) + 1
+        #: By word, its place among all words if the end comes first, then the most frequent one.
+        self.rank = np.empty(self.width, np.int64)
+        self.rank[np.concatenate(([0], 1 + np.argsort(-counts[1:], kind="stable")))] = np.arange(self.width)
         self.total = math.log10(tokens + types + 1)
         self.log_counts = np.log10(counts + 1)
         #: By order, the sorted keys of its n-grams: state of all but the last word * width + last word.
@@ -111,10 +120,6 @@ class Automaton:
         self.back = [np.zeros(1 + self.width)]
         self.fail = [np.zeros(1 + self.width, np.int64)]
 
-    @property
-    def state_bits(self) -> int:
-        return sum(map(len, self.keys)).bit_length()
-
     def ids(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word and end of each text its number or -1, the text it is in, and all words' hashes (0 for ends)."""
         h, text = word_hashes(data, at)
@@ -208,13 +213,83 @@ def _steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=U64(0))
 
 
-class Grams:
-    """What a part's texts ask of the counts: their rare words, and their bigrams and trigrams as contexts with the words that follow.
+#: Codes of words: the rank of a frequent one; of others 48 bits of the hash, with the highest bit set.
+RARE = U64(1 << 63)
+
+
+def _distinct(columns: list[np.ndarray], base: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of numbers below base, sorted by the columns in turn, and each given row's place among them."""
+    if base ** len(columns) < 1 << 63:
+        key = columns[0]
+        for c in columns[1:]:
+            key = key * base + c
+        own, place = np.unique(key, return_inverse=True)
+        out = []
+        for _ in columns:
+            own, last = np.divmod(own, base)
+            out.append(last)
+        return out[::-1], place
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return [c[order[new]] for c in columns], place
+
+
+def _hashed(*columns: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of codes."""
+    h = np.zeros(len(columns[0]), U64)
+    for c in columns:
+        h = mixed(h * U64(0x9E3779B97F4A7C15) + c.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x632BE59BD9B4E019))
+    return h
+
 
-    A context in the automaton is frequent, so its n-grams are dealt by
-    themselves, as keys with the context's state at their end.  All that follows
-    another context is in one bucket.
+def _shrunk(columns: list[np.ndarray], starts: np.ndarray, mark: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of codes, sorted from each start on, as steps: by column the steps, the hashes of its rare words, and their rows.
+
+    A step is 0 where a row repeats the code before it.  Rare words that follow
+    the same codes are numbered from mark on, which is above all ranks.
     """
+    head = np.zeros(len(columns[0]), bool)
+    head[starts] = True
+    out = []
+    for c in columns:
+        change = head.copy()
+        change[1:] |= c[1:] != c[:-1]
+        fresh = (c >= RARE) & change
+        nth, heads = np.cumsum(fresh), np.flatnonzero(head)
+        nth -= np.repeat(nth[heads] - fresh[heads], np.diff(np.append(heads, len(c))))
+        value = np.where(c >= RARE, mark - 1 + nth, (c & ~RARE).astype(np.int64))
+        step = np.diff(value, prepend=0)
+        step[heads] = value[heads] + 1
+        where = np.flatnonzero(fresh)
+        out.append((step, c[where] & ~RARE, where))
+        head = change
+    return out
+
+
+def _grown(columns: list[tuple[np.ndarray, np.ndarray]], starts: np.ndarray, mark: int) -> list[np.ndarray]:
+    """The rows of codes, from each column's steps and hashes; and which rows' codes without the last column are new."""
+    head = np.zeros(len(columns[0][0]), bool)
+    head[starts] = True
+    out = []
+    for step, hashes in columns:
+        value, heads = np.cumsum(step), np.flatnonzero(head)
+        value -= np.repeat(value[heads] - step[heads], np.diff(np.append(heads, len(step)))) + 1
+        last, head = head, step > 0
+        code = value.astype(U64)
+        if len(hashes):  # states, which may be above mark, have none
+            rare = value >= mark
+            code[rare] = RARE | hashes[(np.cumsum(rare & head) - 1)[rare]]
+        out.append(code)
+    return [*out, last]
+
+
+class Tokens:
+    """A part's texts as numbers: their words' ranks, then one number for none, then those of the part's rare words."""
 
     def __init__(self, m: Automaton, batches: list[pa.RecordBatch]):
         found, docs = [], 0
@@ -223,54 +298,93 @@ class Grams:
             found.append((ids, text + docs, h))
             docs += len(at) - 1
         self.docs = docs
-        self.ids, self.text, self.h = (np.concatenate([f[k] for f in found]) for k in range(3))
-        ids, h = self.ids, self.h
+        self.ids, self.text, h = (np.concatenate([f[k] for f in found]) for k in range(3))
+        del found
+        ids = self.ids
         before = lambda x, start: np.concatenate(([start], x[:-1])).astype(x.dtype)
-        # Every text follows an end, whose hash is 0.
-        last = before(h, 0)
+        self.words, self.word_of = np.unique(h[ids < 0], return_inverse=True)
+        self.mark = m.width + 1
+        #: By number, the code that is the same in all parts.
+        self.codes = np.concatenate((np.arange(self.mark).astype(U64), RARE | self.words >> U64(16)))
+        word = m.rank[ids]
+        word[ids < 0] = self.mark + self.word_of
+        # Every text follows an end, whose number is 0.
+        last = before(word, 0)
+        pair = m.states(ids, 2)
         self.later = np.flatnonzero(before(ids, 0) != 0)
         self.at = np.concatenate((np.arange(len(ids)), self.later))
         # States number contexts from 1 on: words, then pairs.
-        state = np.concatenate((before(ids, 0), before(m.states(ids, 2), -1)[self.later] - 1))
-        rare = mixed(before(last, 0)[self.later] * U64(0x9E3779B97F4A7C15) + last[self.later])
-        context = np.concatenate((last, rare))
-        self.usual = state >= 0
-        self.state = state[self.usual]
-        tail = U64(m.state_bits)
-        key = mixed(h[self.at[self.usual]] + self.state.astype(U64) * U64(0xD6E8FEB86659FD93)) >> tail << tail | self.state.astype(U64)
-        self.keys, self.key_of = np.unique(key, return_inverse=True)
-        # The others, sorted by context and by 48 bits of the word that follows.
-        context, word = context[~self.usual], h[self.at[~self.usual]] >> U64(16)
-        order = np.lexsort((word, context))
-        context, word = context[order], word[order]
-        opens = np.diff(context, prepend=context[:1] + U64(1)) != 0
-        new = opens | (np.diff(word, prepend=word[:1]) != 0)
-        self.contexts, self.follow = context[opens], word[new]
-        self.sizes = np.diff(np.append(np.flatnonzero(opens[new]), len(self.follow)))
-        self.gram_of = np.empty(len(order), np.int64)
-        self.gram_of[order] = np.cumsum(new) - 1
-        self.words, self.word_of = np.unique(h[ids < 0], return_inverse=True)
+        self.state = np.concatenate((before(ids, 0), before(pair, -1)[self.later] - 1))
+        self.states = max(len(self.codes), sum(map(len, m.keys)))
+        self.first, self.word, self.last = np.concatenate((np.full(len(ids), m.width), before(last, 0)[self.later])), word[self.at], last[self.at]
+        self.known = np.flatnonzero(pair >= 0)
+        self.known_count = m.grams[1][pair[self.known] - m.first_state[1]]
+        self.asked = np.ones(len(self.at), bool)
+        self.asked[self.known] = False
+        #: By number, the round in which what follows the word is asked for.
+        self.round = (_hashed(self.codes) % U64(ROUNDS)).astype(np.uint8)
+
+
+class Grams:
+    """What a part asks of the counts in a round: the bigrams and trigrams of some contexts, as contexts with the words that follow, and once its rare words.
+
+    Bigrams that the automaton has are not asked for.  Another context in the
+    automaton is frequent, so its n-grams (usual) are dealt by themselves, as its
+    state with the word that follows.  All that follows any other context is in
+    one bucket, as the context's last word, the one before (or that there is
+    none) and the word that follows.
+    """
+
+    def __init__(self, t: Tokens, turn: int, bits: int):
+        self.tokens, self.turn = t, turn
+        asked, usual = t.asked & (t.round[t.last] == turn), t.state >= 0
+        self.usual, self.other = np.flatnonzero(asked & usual), np.flatnonzero(asked & ~usual)
+        keys, self.key_of = _distinct([t.state[self.usual], t.word[self.usual]], t.states)
+        self.keys = [keys[0].astype(U64), t.codes[keys[1]]]
+        self.key_bucket, self.key_of = self._dealt(self.keys, self.keys, self.key_of, bits)
+        grams, self.gram_of = _distinct([x[self.other] for x in (t.last, t.first, t.word)], len(t.codes))
+        self.grams = [t.codes[g] for g in grams]
+        self.gram_bucket, self.gram_of = self._dealt(self.grams, self.grams[:2], self.gram_of, bits)
+        v, u, _ = self.grams
+        opens = np.zeros(len(v), bool)
+        opens[:1] = True
+        opens[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (self.gram_bucket[1:] != self.gram_bucket[:-1])
+        self.context = np.cumsum(opens) - 1
+
+    @staticmethod
+    def _dealt(columns: list[np.ndarray], by: list[np.ndarray], place: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorts the columns by the bucket of by: the buckets, and the places that were given."""
+        bucket = (_hashed(*by) >> U64(64 - bits)).astype(np.uint32 if bits > 16 else np.uint16) if bits else np.zeros(len(by[0]), np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        columns[:] = [c[order] for c in columns]
+        spot = np.empty(len(order), np.int64)
+        spot[order] = np.arange(len(order))
+        return bucket[order], spot[place]
 
     def requests(self, part: int, learned: np.ndarray, bits: int) -> pa.RecordBatch:
         """A row for each bucket; learned says which texts are counted."""
-        of = lambda which: learned[self.text[which]]
+        t = self.tokens
+        words, word_of = (t.words, t.word_of) if self.turn == 0 else (t.words[:0], t.word_of[:0])
+        of = lambda which: learned[t.text[which]]
         count = lambda place, which, n: np.bincount(place, of(which), n).astype(np.int64)
-        keys = count(self.key_of, self.at[self.usual], len(self.keys))
-        grams, words = count(self.gram_of, self.at[~self.usual], len(self.follow)), count(self.word_of, self.ids < 0, len(self.words))
-        edges = np.arange(1, 1 << bits).astype(U64) << U64(64 - bits) if bits else np.empty(0, U64)
-        cuts = lambda x: [0, *np.searchsorted(x, edges).tolist(), len(x)]
-        ends = np.concatenate(([0], np.cumsum(self.sizes)))
-        rows = []
-        for b, (k, c, w) in enumerate(zip(*(zip(x, x[1:]) for x in map(cuts, (self.keys, self.contexts, self.words))))):
-            if k[0] < k[1] or c[0] < c[1] or w[0] < w[1]:
-                k, c, g, w = slice(*k), slice(*c), slice(ends[c[0]], ends[c[1]]), slice(*w)
-                rows.append((_steps(self.keys[k]), keys[k], _steps(self.contexts[c]), self.sizes[c], self.follow[g], grams[g], _steps(self.words[w]), words[w], b))
-        columns = [pa.array([r[8] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), *(pa.array([_packed(r[k]) for r in rows], pa.binary()) for k in range(8))]
-        return pa.RecordBatch.from_arrays(columns, names=["bucket", "part", *ASKED])
-
-
-#: A part's keys, contexts and rare words in a bucket with their counts, and the answers: counts of all parts, and of each context all, those of n-grams that count, and how many these are.
-ASKED = ["keys", "key_counts", "contexts", "sizes", "follow", "counts", "words", "word_counts"]
+        buckets, columns = np.arange(1 << bits), {}
+        for name, table_, at, counts in (("key", self.keys, self.key_bucket, count(self.key_of, t.at[self.usual], len(self.keys[0]))), ("gram", self.grams, self.gram_bucket, count(self.gram_of, t.at[self.other], len(self.grams[0])))):
+            edges = np.searchsorted(at, np.arange((1 << bits) + 1))
+            columns[f"{name}_counts"] = np.split(counts, edges[1:-1])
+            starts = edges[:-1][np.diff(edges) > 0]
+            for k, (step, hashes, where) in enumerate(_shrunk(table_, starts, t.mark)):
+                columns[f"{name}{k}"] = np.split(step, edges[1:-1])
+                columns[f"{name}{k}_rare"] = np.split(hashes, np.searchsorted(where, edges[1:-1]))
+        cuts = np.searchsorted(words, buckets[1:].astype(U64) << U64(64 - bits)) if bits else []
+        columns["words"] = [_steps(x) for x in np.split(words, cuts)]
+        rare = np.flatnonzero(t.ids < 0)[: len(word_of)]
+        columns["word_counts"] = np.split(count(word_of, rare, len(words)), cuts)
+        rows = [b for b in buckets.tolist() if len(columns["key0"][b]) or len(columns["gram0"][b]) or len(columns["words"][b])]
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([part] * len(rows), pa.int64()), *(pa.array([_packed(columns[c][b]) for b in rows], pa.binary()) for c in ASKED)], names=["bucket", "part", *ASKED])
+
+
+#: A part's n-grams and rare words in a bucket with their counts, and the answers: counts of all parts, and of each context all, those of n-grams that count, and how many these are.
+ASKED = [f"{c}{more}" for c in ("key0", "key1", "gram0", "gram1", "gram2") for more in ("", "_rare")] + ["key_counts", "gram_counts", "words", "word_counts"]
 ANSWERED = ["key_counts", "counts", "totals", "kept", "kinds", "word_counts"]
 
 
@@ -292,54 +406,68 @@ def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[
         yield last, held
 
 
-def _asking(model, bits: int):
+def _asking(model, bits: int, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _whole_parts(batches):
             learned = ~np.concatenate([r.column("held_out").to_numpy(zero_copy_only=False) for r in rows])
-            yield Grams(model.value, rows).requests(part, learned, bits)
+            yield Grams(Tokens(model.value, rows), turn, bits).requests(part, learned, bits)
 
     return run
 
 
-def _added(keys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows of keys (the last sorts first), the sum of each one's counts, and each given row's place among them."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct key is, the sum of its counts, and each given key's place among them."""
+    order = np.argsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
     return order[new], np.bincount(place, counts, int(new.sum())).astype(np.int64), place
 
 
-def _answering(state_bits: int):
-    """The answers to a bucket's parts; and by ranges of states, as parts below 0, what the bucket has of frequent contexts."""
+def _answering(mark: int):
+    """The answers to a bucket's parts; and by ranges of states, as parts below 0, what the bucket has of frequent contexts.
+
+    What doesn't count is answered by 0, and so is the total of a context whose
+    n-grams don't count, for its failure weight is 1 then.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
-        each = {c: [_unpacked(x) for x in pdf[c]] for c in ASKED}
-        for c in ("keys", "contexts", "words"):
-            each[c] = [np.cumsum(x, dtype=U64) for x in each[c]]
-        ends = {c: np.cumsum([len(x) for x in each[c]]) for c in ("keys", "contexts", "follow", "words")}
-        all_of = {c: np.concatenate(x) for c, x in each.items()}
-        first, key_counts, key_of = _added([all_of["keys"]], all_of["key_counts"])
-        _, word_counts, word_of = _added([all_of["words"]], all_of["word_counts"])
-        context = np.repeat(all_of["contexts"], all_of["sizes"].astype(np.int64))
-        gram, counts, gram_of = _added([all_of["follow"], context], all_of["counts"])
-        # Contexts of the distinct n-grams are sorted, so each one's sums are runs.
-        heads = np.flatnonzero(np.diff(context[gram], prepend=context[gram][:1] + U64(1)) != 0)
-        sums = lambda x: np.add.reduceat(x, heads) if len(heads) else x
-        own = np.searchsorted(context[gram][heads], all_of["contexts"])
+
+        def rows(names: list[str]):
+            columns = [([_unpacked(x).astype(np.int64) for x in pdf[c]], np.concatenate([_unpacked(x) for x in pdf[f"{c}_rare"]])) for c in names]
+            sizes = np.array([len(x) for x in columns[0][0]])
+            ends = np.cumsum(sizes)
+            return _grown([(np.concatenate(steps), hashes) for steps, hashes in columns], (ends - sizes)[sizes > 0], mark), ends
+
+        whole = lambda c: np.concatenate([_unpacked(x) for x in pdf[c]]).astype(np.int64)
+        parts = lambda x, ends: [_packed(p) for p in np.split(x, ends[:-1])]
+        out = {"part": pdf["part"].to_numpy(), "bucket": bucket}
+        (state, word, _), ends = rows(["key0", "key1"])
+        first, counts, of = _added(_hashed(state, word), whole("key_counts"))
         good = counts >= LEAST
-        totals, kept, kinds = (sums(x)[own] for x in (counts, counts * good, good.astype(np.int64)))
-        parts = lambda x, c: [_packed(p) for p in np.split(x, ends[c][:-1])]
-        out = {"part": pdf["part"].to_numpy(), "bucket": bucket, "key_counts": parts(key_counts[key_of], "keys"), "counts": parts(counts[gram_of], "follow")}
-        out |= {"totals": parts(totals, "contexts"), "kept": parts(kept, "contexts"), "kinds": parts(kinds, "contexts"), "word_counts": parts(word_counts[word_of], "words")}
-        good = key_counts >= LEAST
-        state, place = np.unique((all_of["keys"][first[good]] & U64((1 << state_bits) - 1)).astype(np.int64), return_inverse=True)
-        kept, kinds = np.bincount(place, key_counts[good], len(state)).astype(np.int64), np.bincount(place, minlength=len(state))
+        out["key_counts"] = parts((counts * good)[of], ends)
+        state, place = np.unique(state[first[good]].astype(np.int64), return_inverse=True)
+        kept, kinds = np.bincount(place, counts[good], len(state)).astype(np.int64), np.bincount(place, minlength=len(state))
         cuts = np.flatnonzero(np.diff(state // STATES)) + 1
         more = [(-1 - int(s[0]) // STATES, bucket, _packed(s), _packed(k), _packed(n), b"", b"", b"") for s, k, n in zip(*(np.split(x, cuts) for x in (state, kept, kinds))) if len(s)]
+        del word, of
+        (last, first, word, opens), ends = rows(["gram0", "gram1", "gram2"])
+        hashed = _hashed(last, first)
+        del last, first
+        heads = np.flatnonzero(opens)
+        own, context = np.unique(hashed[heads], return_inverse=True)
+        first, counts, of = _added(_hashed(hashed, word), whole("gram_counts"))
+        del hashed, word
+        context_of = context[(np.cumsum(opens) - 1)[first]]
+        good = counts >= LEAST
+        out["counts"] = parts((counts * good)[of], ends)
+        total, kept, kinds = (np.bincount(context_of, x, len(own)).astype(np.int64) for x in (counts, counts * good, good))
+        of_contexts = np.searchsorted(heads, ends)
+        out |= {name: parts(x[context], of_contexts) for name, x in (("totals", total * (kinds > 0)), ("kept", kept), ("kinds", kinds))}
+        words = [np.cumsum(_unpacked(x), dtype=U64) for x in pdf["words"]]
+        _, counts, of = _added(np.concatenate(words), whole("word_counts"))
+        out["word_counts"] = parts(counts[of], np.cumsum([len(x) for x in words]))
         return pd.concat([pd.DataFrame(out), pd.DataFrame(more, columns=["part", "bucket", *ANSWERED])])
 
     return run
@@ -357,33 +485,37 @@ def _left(total: np.ndarray, kept: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return 1 - np.where(total > 0, (kept - DISCOUNT * kinds) / np.maximum(total, 1), 0.0)
 
 
-def _scoring(model):
+def _scoring(model, bits: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         m, kept, kinds = model.value
-        batches = rows.to_batches()
-        g = Grams(m, batches)
-        answers = answers.sort_by("bucket")
-        got = {c: np.concatenate([_unpacked(x) for x in answers.column(c).to_pylist()]).astype(np.int64) for c in ANSWERED}
-        if any(len(got[c]) != len(x) for c, x in (("key_counts", g.keys), ("counts", g.follow), ("totals", g.contexts), ("word_counts", g.words))):
-            raise ValueError("the documents' partitions changed between two reads")
+        t = Tokens(m, rows.to_batches())
         # Arcs and failure weights of the contexts of each token; no arc where an n-gram doesn't count.
-        count, total, left = np.empty(len(g.at)), np.empty(len(g.at)), np.empty(len(g.at))
         of_states = np.concatenate(m.grams)
-        count[g.usual], total[g.usual] = got["key_counts"][g.key_of], of_states[g.state]
-        left[g.usual] = _left(of_states, kept, kinds)[g.state]
-        context = np.repeat(np.arange(len(g.contexts)), g.sizes)[g.gram_of]
-        count[~g.usual], total[~g.usual] = got["counts"][g.gram_of], got["totals"][context]
-        left[~g.usual] = _left(got["totals"], got["kept"], got["kinds"])[context]
+        count, total, word_counts = np.empty(len(t.at)), of_states[np.maximum(t.state, 0)], None
+        left = _left(of_states, kept, kinds)[np.maximum(t.state, 0)]
+        count[t.known] = t.known_count
+        for turn in range(ROUNDS):
+            g = Grams(t, turn, bits)
+            mine = answers.filter(pc.equal(answers["turn"], turn)).sort_by("bucket")
+            # A part that knows all it needs has asked for nothing.
+            got = {c: np.concatenate([np.empty(0, U64), *map(_unpacked, mine.column(c).to_pylist())]).astype(np.int64) for c in ANSWERED}
+            word_counts = got["word_counts"] if turn == 0 else word_counts
+            if any(len(x) != n for x, n in ((got["key_counts"], len(g.keys[0])), (got["counts"], len(g.context)), (got["totals"], g.context[-1] + 1 if len(g.context) else 0), (word_counts, len(t.words)))):
+                raise ValueError("the documents' partitions changed between two reads")
+            count[g.usual] = got["key_counts"][g.key_of]
+            context = g.context[g.gram_of]
+            count[g.other], total[g.other] = got["counts"][g.gram_of], got["totals"][context]
+            left[g.other] = _left(got["totals"], got["kept"], got["kinds"])[context]
         arc = np.where(count >= LEAST, (count - DISCOUNT) / np.maximum(total, 1), 0.0)
-        rare, n = g.ids < 0, len(g.ids)
-        logs = np.where(rare, 0.0, m.log_counts[np.maximum(g.ids, 0)])
-        logs[rare] = np.log10(got["word_counts"][g.word_of] + 1)
+        rare, n = t.ids < 0, len(t.ids)
+        logs = np.where(rare, 0.0, m.log_counts[np.maximum(t.ids, 0)])
+        logs[rare] = np.log10(word_counts[t.word_of] + 1)
         p = arc[:n] + left[:n] * np.power(10.0, logs - m.total)
-        p[g.later] = arc[n:] + left[n:] * p[g.later]
-        known = ~rare if m.log_counts[0] > 0 else g.ids > 0  # without training, not even the end is known
-        known[rare] = got["word_counts"][g.word_of] > 0
-        sums = lambda x: pa.array(np.bincount(g.text, x, g.docs))
-        whole = lambda x: pa.array(np.bincount(g.text, x, g.docs).astype(np.int64))
+        p[t.later] = arc[n:] + left[n:] * p[t.later]
+        known = ~rare if m.log_counts[0] > 0 else t.ids > 0  # without training, not even the end is known
+        known[rare] = word_counts[t.word_of] > 0
+        sums = lambda x: pa.array(np.bincount(t.text, x, t.docs))
+        whole = lambda x: pa.array(np.bincount(t.text, x, t.docs).astype(np.int64))
         columns = [rows.column("doc_id"), rows.column("held_out"), whole(None), whole(known), sums(logs - m.total), sums(np.log10(p))]
         return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
@@ -428,14 +560,26 @@ def score(docs: DataFrame, training) -> DataFrame:
     texts = docs.withColumn("part", F.spark_partition_id().cast("long") * split + F.pmod(F.xxhash64("doc_id", "bytes"), F.lit(split)))
     model, tokens = train(docs.filter("not held_out").select("bytes"), bits, 2, WORD_SHARE, NGRAM_SHARE)[::2]
     sent = spark.sparkContext.broadcast(model)
-    asked = texts.sortWithinPartitions("part").mapInArrow(_asking(sent, bits), "bucket long, part long, " + ", ".join(f"{c} binary" for c in ASKED))
-    answers = cut(asked.groupBy("bucket").applyInPandas(_answering(model.state_bits), "part long, bucket long, " + ", ".join(f"{c} binary" for c in ANSWERED)))
-    found = answers.filter("part < 0").groupBy("part").applyInPandas(_of_states, "state long, kept long, kinds long").toPandas()
+    ordered, answers, found = texts.sortWithinPartitions("part"), None, []
+    for turn in range(ROUNDS):
+        asked = ordered.mapInArrow(_asking(sent, bits, turn), "bucket long, part long, " + ", ".join(f"{c} binary" for c in ASKED))
+        more = cut(asked.groupBy("bucket").applyInPandas(_answering(model.width + 1), "part long, bucket long, " + ", ".join(f"{c} binary" for c in ANSWERED))).withColumn("turn", F.lit(turn))
+        answers = more if answers is None else answers.union(more)
+        found.append(more.filter("part < 0").groupBy("part").applyInPandas(_of_states, "state long, kept long, kinds long").toPandas())
+        # What was asked is answered; Spark removes its shuffle files once the driver has collected the frame, which the job just before lets go.
+        del asked
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    # Pairs that the automaton has weren't asked for; their contexts are words, whose states are 1 + the word.
     kept, kinds = np.zeros((2, sum(map(len, model.keys))), np.int64)
-    kept[found["state"]], kinds[found["state"]] = found["kept"], found["kinds"]
+    words = model.keys[1] // model.width - 1
+    kept[: model.width], kinds[: model.width] = np.bincount(words, model.grams[1], model.width), np.bincount(words, minlength=model.width)
+    for more in found:
+        kept[more["state"]] += more["kept"].to_numpy()
+        kinds[more["state"]] += more["kinds"].to_numpy()
     whole = spark.sparkContext.broadcast((model, kept, kinds))
     scored = texts.groupBy("part").cogroup(answers.filter("part >= 0").groupBy("part"))
-    out = scored.applyInArrow(_scoring(whole), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = scored.applyInArrow(_scoring(whole, bits), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

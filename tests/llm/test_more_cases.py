@@ -298,3 +298,19 @@ def test_index_sorts_only_ties_again(monkeypatch, symbols):
         at += len(s) + 1
     # All were sorted six times and more before.
     assert symbols < 5 or sum(sorted_) < 3 * index.n
+
+
+def test_lm_requests_are_steps_that_come_back():
+    """Rows of codes come back from steps and take less than 8 bytes each, rare words included; each start begins anew."""
+    rng, mark = np.random.default_rng(3), 1000
+    hashes = lmscore.RARE | rng.integers(0, 1 << 48, 300).astype(np.uint64)
+    word = lambda n: np.where(rng.random(n) < 0.2, rng.choice(hashes, n), rng.zipf(1.3, n).astype(np.uint64) % np.uint64(mark))
+    for n in (0, 1, 5000):
+        rows = np.unique(np.stack([word(n), word(n), word(n)]), axis=1)
+        columns = list(np.concatenate([rows, rows], axis=1))
+        starts = np.array([0, rows.shape[1]]) if n else np.empty(0, np.int64)
+        shrunk = lmscore._shrunk(columns, starts, mark)
+        *grown, opens = lmscore._grown([(step, rare) for step, rare, _ in shrunk], starts, mark)
+        assert all((a == b).all() for a, b in zip(grown, columns, strict=True))
+        assert opens.sum() == 2 * len(np.unique(rows[:2], axis=1).T)
+        assert n < 5000 or sum(len(lmscore._packed(x)) for part in shrunk for x in part[:2]) < 8 * len(columns[0])
