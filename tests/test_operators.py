@@ -1,5 +1,6 @@
 """Operators on the survey's small fixtures."""
 
+import difflib
 import random
 
 import pytest
@@ -107,6 +108,43 @@ def test_readings(spark):
     assert reconcile.script_aware(greek, KEY).first().cand_ord == 1
 
 
+def test_long_lines_are_merged_whole(spark):
+    """Lines of any length, and candidates longer than their line, vote on all words as difflib aligns them."""
+    rng = random.Random(3)
+    rows, want, read = [], {}, {}
+    for k, (n, kinds) in enumerate([(513, 40), (600, 9), (1500, 300), (520, 1), (400, 50), (900, 900)]):
+        own = [f"w{rng.randrange(kinds)}" for _ in range(n)]
+        other = [w for w in ("x" if rng.random() < 0.1 else w for w in own) if rng.random() > 0.02]
+        other[20:20] = ["y"] * 600 if k == 4 else []
+        at = [{"a": (0, w, True)} for w in own]
+        for what, i, j, c, d in difflib.SequenceMatcher(None, own, other, autojunk=False).get_opcodes():
+            if what == "equal" or (what == "replace" and j - i == d - c):
+                for p in range(j - i):
+                    at[i + p] |= {v: (number, other[c + p], False) for number, v in enumerate("bc", 1)}
+        rows += [(k, number, v, "", " ".join(own if v == "a" else other), v == "a") for number, v in enumerate("abc")]
+        read |= {(k, p, v): x for p, r in enumerate(at) for v, x in r.items()}
+        voted = " ".join(r["b"][1] if "b" in r else w for w, r in zip(own, at))
+        want |= {k: voted} if voted != " ".join(own) else {}
+    df = spark.createDataFrame(rows, "k long, cand_ord int, model_name string, variant string, text string, is_chosen boolean")
+    assert {r.k: r.suggestion_text for r in reconcile.merge_suggestions(df, ["k"]).collect()} == want and len(want) > 4
+    assert {(r.k, r.pos, r.voter): (r.ord, r.text, r.is_pivot) for r in reconcile.align(df, ["k"]).collect()} == read
+
+
+def test_blocks_of_long_lines():
+    """They are difflib's, whatever repeats; gaps that hold nothing but repeated or rare words take no more than linear room."""
+    rng = random.Random(8)
+    for kinds in (1, 2, 3, 20, 200) * 30:
+        a = rng.choices(range(kinds), k=rng.choice((0, 1, 9, 60)))
+        b = [w for w in (rng.randrange(kinds) if rng.random() < 0.2 else w for w in a) if rng.random() > 0.1]
+        a, b = ([str(w) for w in x] for x in (a, b[len(b) // 2 :] + b[: len(b) // 2] if rng.random() < 0.3 else b))
+        cut = [(i + p, j + p) for i, j, k in reconcile.long_blocks(a, b) for p in range(k)]
+        assert cut == [(i + p, j + p) for i, j, k in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for p in range(k)]
+    n = 20000
+    assert reconcile.long_blocks(["x"] * n, ["x"] * (n + 5)) == [(0, 0, n), (n, n + 5, 0)]
+    odd = [[f"{side}{k}" if k % 2 else "x" for k in range(n)] for side in "ab"]
+    assert reconcile.long_blocks(*odd) == [*((k, k, 1) for k in range(0, n, 2)), (n, n, 0)]
+
+
 def test_flags_of_lines(spark, monkeypatch):
     """Line by line, in tasks that forget, and by a join of tokens, flags are the same; the first shuffles no lines."""
     words = ["alpha", "Alpha,", "ἀρχῇ", "\u03b1\u0313ρχη", "ΛΟΓΟΣ", "λόγος.", "...", "«x»", "é", "e\u0301", "İ", "straße", "zz\x1cq", "n\xa0m", "\u2003", "😀b", ""]
